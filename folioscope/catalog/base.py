@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioscope.operators.activity import flag_business_anomalies
 from folioscope.operators.cleaning import clean_registry
 from folioscope.operators.quality import classify
 from folioscope.operators.risk import risk_label
+from folioscope.session import scratch_path
 from folioscope.sources.tpch_registry import RAW_REGISTRY, TABLES, load_table, raw_registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,17 +42,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return load_table(spark, folder, name)
 
 
+STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """A derived table, written below the shared folder once per application and read back.
+
+    The registry is a stored file to begin with and its cleaned form is the table every statistic
+    reads, so the queries scan the columns they need instead of joining and typing the rows anew.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in STORED:
+        path, df = scratch_path(spark, name), build()
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(path)
+        STORED[key] = path, df.schema
+    path, schema = STORED[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_registry(spark, folder)
+    """Raw registry text, as it would arrive."""
+    return stored(spark, folder, "registro", lambda: raw_registry(spark, folder))
 
 
-def tx(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed transactions that keep the value text next to the number."""
+def typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw registry cleaned on the fly; the value text is kept next to the number."""
     return clean_registry(raw(spark, folder).withColumn("valor_texto", F.col("valor")))
 
 
+def classified(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(typed(spark, folder))
+
+
 def cl(spark: SparkSession, folder: str) -> DataFrame:
-    return classify(tx(spark, folder))
+    """The cleaned and classified table, stored by quality class."""
+    return stored(spark, folder, "completo", lambda: classified(spark, folder), "calidad_datos")
+
+
+def tx(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions of the stored table without their quality columns."""
+    return cl(spark, folder).drop("calidad_datos", "tipo_error", "es_mercado_valido", "valor_valido")
 
 
 def fl(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.catalog.base import (
-    AS_OF, acts, cl, day, fl, flat, over, query, raw, rounded, sc, sql_label, sql_number, table, tx,
+    AS_OF, acts, cl, classified, day, fl, flat, over, query, raw, rounded, sc, sql_label, sql_number, table, tx, typed,
 )
 from folioscope.functions import values as V
 from folioscope.operators import activity, cleaning, features, monitoring, quality, statistics
@@ -144,16 +144,16 @@ def stacked(frames):
 
 @query("k1_quality_datasets_written", over("cl", SPLITS))
 def k1(spark, d):
-    paths = writers.write_quality_datasets(cl(spark, d), scratch_path(spark, "datasets"))
+    paths = writers.write_quality_datasets(classified(spark, d), scratch_path(spark, "datasets"))
     return stacked([dataset_totals(spark.read.parquet(p), n) for n, p in paths.items()])
 
 
 @query("k2_statistics_written")
 def k2(spark, d):
     folder = scratch_path(spark, "stats")
-    classified = cl(spark, d)
-    kinds = statistics.property_kind_year_stats(quality.dataset(classified, "ml_training"))
-    writers.write_statistics({"por_tipo_predio": kinds}, statistics.run_report(classified), folder)
+    rows = classified(spark, d)
+    kinds = statistics.property_kind_year_stats(quality.dataset(rows, "ml_training"))
+    writers.write_statistics({"por_tipo_predio": kinds}, statistics.run_report(rows), folder)
     return spark.read.option("header", True).csv(f"{folder}/etl_report.csv")
 
 
@@ -231,27 +231,27 @@ def p1(spark, d):
 
 @query("p2_whole_numbers", over("tx", "SELECT pk, year_radica, count_a, count_de FROM tx"))
 def p2(spark, d):
-    return tx(spark, d).select("pk", "year_radica", "count_a", "count_de")
+    return typed(spark, d).select("pk", "year_radica", "count_a", "count_de")
 
 
 @query("p3_flags", over("tx", "SELECT pk, dinamica_inmobiliaria, predios_nuevos, tiene_valor, tiene_mas_de_un_valor FROM tx"))
 def p3(spark, d):
-    return tx(spark, d).select("pk", "dinamica_inmobiliaria", "predios_nuevos", "tiene_valor", "tiene_mas_de_un_valor")
+    return typed(spark, d).select("pk", "dinamica_inmobiliaria", "predios_nuevos", "tiene_valor", "tiene_mas_de_un_valor")
 
 
 @query("p4_money_text", over("tx", "SELECT pk, valor_texto, valor_acto FROM tx"))
 def p4(spark, d):
-    return tx(spark, d).select("pk", "valor_texto", "valor_acto")
+    return typed(spark, d).select("pk", "valor_texto", "valor_acto")
 
 
 @query("p5_categories", over("tx", "SELECT pk, departamento, municipio, tipo_predio, categoria_ruralidad, estado_folio FROM tx"))
 def p5(spark, d):
-    return tx(spark, d).select("pk", "departamento", "municipio", "tipo_predio", "categoria_ruralidad", "estado_folio")
+    return typed(spark, d).select("pk", "departamento", "municipio", "tipo_predio", "categoria_ruralidad", "estado_folio")
 
 
 @query("p6_office_range", over("tx", "SELECT pk, orip FROM tx"))
 def p6(spark, d):
-    return tx(spark, d).select("pk", "orip")
+    return typed(spark, d).select("pk", "orip")
 
 
 @query("p7_text_cleaned", over("raw", """
@@ -275,7 +275,7 @@ SELECT pk, CASE WHEN orip >= 0 THEN least(orip, 10000) END AS orip,
   CASE WHEN valor_acto >= 0 THEN least(valor_acto, 1e12) END AS valor_acto
 FROM (SELECT *, cast(count_a AS DOUBLE) * 40 AS numero_intervinientes FROM tx)"""))
 def p9(spark, d):
-    rows = tx(spark, d).withColumn("numero_intervinientes", F.col("count_a").cast("double") * 40)
+    rows = typed(spark, d).withColumn("numero_intervinientes", F.col("count_a").cast("double") * 40)
     return cleaning.clamp_out_of_range(rows).select("pk", "orip", "numero_intervinientes", "valor_acto")
 
 
@@ -283,7 +283,7 @@ def p9(spark, d):
 SELECT pk, CASE WHEN fecha_radicacion BETWEEN DATE '1900-01-01' AND DATE '{AS_OF}' THEN fecha_radicacion END AS fecha_radicacion
 FROM tx"""))
 def p10(spark, d):
-    return cleaning.drop_impossible_dates(tx(spark, d), day(AS_OF)).select("pk", "fecha_radicacion")
+    return cleaning.drop_impossible_dates(typed(spark, d), day(AS_OF)).select("pk", "fecha_radicacion")
 
 
 @query("p11_dates_parsed", over("raw", """
@@ -294,14 +294,14 @@ def p11(spark, d):
 
 @query("p12_has_value", over("tx", "SELECT pk, coalesce(valor_acto > 0, false) AS tiene_valor FROM tx"))
 def p12(spark, d):
-    return cleaning.with_has_value(tx(spark, d)).select("pk", "tiene_valor")
+    return cleaning.with_has_value(typed(spark, d)).select("pk", "tiene_valor")
 
 
 @query("p13_missing_areas_filled", over("tx", """
 SELECT pk, coalesce(area_terreno, 0) AS area_terreno, coalesce(area_construida, 0) AS area_construida
 FROM (SELECT pk, nullif(area_terreno, 0) AS area_terreno, area_construida FROM tx)"""))
 def p13(spark, d):
-    rows = tx(spark, d).withColumn("area_terreno", F.nullif("area_terreno", F.lit(0.0)))
+    rows = typed(spark, d).withColumn("area_terreno", F.nullif("area_terreno", F.lit(0.0)))
     return cleaning.fill_missing_areas(rows).select("pk", "area_terreno", "area_construida")
 
 
@@ -343,7 +343,7 @@ SELECT pk, coalesce(cast(count_a AS DOUBLE), 1) AS count_a, coalesce(cast(count_
   coalesce(cast(year_radica AS DOUBLE), 2024) AS anio, 1.0::DOUBLE AS mes, 1.0::DOUBLE AS trimestre FROM tx"""))
 def p18(spark, d):
     columns = ["pk", "count_a", "count_de", "dinamica_inmobiliaria", "total_intervinientes", "anio", "mes", "trimestre"]
-    return cleaning.price_inputs(tx(spark, d)).select(*columns)
+    return cleaning.price_inputs(typed(spark, d)).select(*columns)
 
 
 @query("p19_code_maps", over("acts", """
@@ -416,14 +416,14 @@ def f2b(spark, d):
 @query("f3_empty_rows_dropped", over("tx", """
 SELECT orip, divipola, departamento FROM tx WHERE orip IS NOT NULL OR divipola IS NOT NULL OR departamento IS NOT NULL"""))
 def f3(spark, d):
-    return cleaning.drop_empty_rows(tx(spark, d).select("orip", "divipola", "departamento"))
+    return cleaning.drop_empty_rows(typed(spark, d).select("orip", "divipola", "departamento"))
 
 
 @query("f4_dataset_splits", over("cl", SPLITS))
 def f4(spark, d):
-    classified = cl(spark, d)
+    rows = classified(spark, d)
     keep = quality.dataset_filters()
-    one = classified.agg(*[
+    one = rows.agg(*[
         F.struct(
             F.lit(n).alias("dataset"), F.count_if(c).alias("n"),
             F.round(F.sum(F.when(c, F.col("valor_acto"))), 2).alias("suma"),
@@ -435,7 +435,7 @@ def f4(spark, d):
 @query("f5_market_with_value", over("tx", """
 SELECT pk, valor_acto FROM tx WHERE tiene_valor = 1 AND valor_acto > 0 AND dinamica_inmobiliaria = 1"""))
 def f5(spark, d):
-    return quality.market_with_value(tx(spark, d)).select("pk", "valor_acto")
+    return quality.market_with_value(typed(spark, d)).select("pk", "valor_acto")
 
 
 @query("f6_quantile_trim", over("tx", """
@@ -471,13 +471,13 @@ def f7(spark, d):
 @query("f8_cadastral_format", over("tx", """
 SELECT pk, coalesce(regexp_full_match(upper(numero_catastral), '[A-Z0-9]{20,35}'), false) AS valido FROM tx"""))
 def f8(spark, d):
-    return tx(spark, d).select("pk", V.is_cadastral_number(F.col("numero_catastral")).alias("valido"))
+    return typed(spark, d).select("pk", V.is_cadastral_number(F.col("numero_catastral")).alias("valido"))
 
 
 @query("f9_folio_format", over("tx", """
 SELECT pk, coalesce(regexp_full_match(upper(matricula_inmobiliaria), '[A-Z0-9]+-\\d+'), false) AS valido FROM tx"""))
 def f9(spark, d):
-    return tx(spark, d).select("pk", V.is_folio_number(F.col("matricula_inmobiliaria")).alias("valido"))
+    return typed(spark, d).select("pk", V.is_folio_number(F.col("matricula_inmobiliaria")).alias("valido"))
 
 
 @query("f10_known_department", over("tx", """
@@ -527,13 +527,13 @@ SELECT pk, CASE WHEN valor_texto IS NULL THEN 'NULO' WHEN valor_acto IS NULL THE
   WHEN valor_acto < 0 THEN 'NEGATIVO' WHEN valor_acto < 1000000 THEN 'PEQUENO' WHEN valor_acto > 10000000000 THEN 'EXTREMO'
   ELSE 'VALIDO' END AS clase FROM tx"""))
 def f14(spark, d):
-    return tx(spark, d).select("pk", quality.value_class(F.col("valor_texto")).alias("clase"))
+    return typed(spark, d).select("pk", quality.value_class(F.col("valor_texto")).alias("clase"))
 
 
 @query("f15_area_consistency", over("tx", """
 SELECT pk, NOT coalesce(area_terreno <> 0 AND area_construida > area_terreno, false) AS coherente FROM tx"""))
 def f15(spark, d):
-    return tx(spark, d).select("pk", quality.area_consistent().alias("coherente"))
+    return typed(spark, d).select("pk", quality.area_consistent().alias("coherente"))
 
 
 # --- quality classes, joins, flags ----------------------------------------------------------------
@@ -541,12 +541,12 @@ def f15(spark, d):
 
 @query("b1_quality_classes", over("cl", "SELECT pk, transaction_id, calidad_datos, tipo_error FROM cl"))
 def b1(spark, d):
-    return cl(spark, d).select("pk", "transaction_id", "calidad_datos", "tipo_error")
+    return classified(spark, d).select("pk", "transaction_id", "calidad_datos", "tipo_error")
 
 
 @query("b2_market_and_valid_value", over("cl", "SELECT pk, es_mercado_valido, valor_valido FROM cl"))
 def b2(spark, d):
-    return cl(spark, d).select("pk", "es_mercado_valido", "valor_valido")
+    return classified(spark, d).select("pk", "es_mercado_valido", "valor_valido")
 
 
 @query("j1_yearly_annotations", over("fl", "SELECT pk, matricula, year_radica, anotaciones_por_anio FROM fl"))
@@ -619,8 +619,8 @@ def u1(spark, d):
 
 @query("u2_review_union", over("cl", "SELECT pk, calidad_datos FROM cl WHERE calidad_datos = 'ERROR' UNION ALL SELECT pk, calidad_datos FROM cl WHERE calidad_datos = 'ADVERTENCIA'"))
 def u2(spark, d):
-    classified = cl(spark, d).select("pk", "calidad_datos", "es_mercado_valido", "valor_valido")
-    return quality.dataset(classified, "errores").unionByName(quality.dataset(classified, "advertencias")).select("pk", "calidad_datos")
+    rows = cl(spark, d).select("pk", "calidad_datos", "es_mercado_valido", "valor_valido")
+    return quality.dataset(rows, "errores").unionByName(quality.dataset(rows, "advertencias")).select("pk", "calidad_datos")
 
 
 @query("scored_listing", over("sc", f"SELECT pk, anomaly_score, {sql_label('anomaly_score')} AS risk_classification FROM sc"))
