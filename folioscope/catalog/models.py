@@ -408,7 +408,7 @@ def fitted_prices(spark, d):
         codes = pricing.fit_price_codes(rows)
         names = pricing.feature_names(codes)
         ready = pricing.price_features(rows, codes).persist()
-        FITTED[key] = pricing.fit_price_model(ready, names), ready, names
+        FITTED[key] = pricing.fit_price_model(ready, names, trees=40, depth=10), ready, names
     return FITTED[key]
 
 

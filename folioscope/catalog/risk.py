@@ -119,7 +119,7 @@ def b15(spark, d):
 
 STORED = """
 SELECT matricula, count(*) AS n, count(*) FILTER (WHERE is_anomaly) AS anomalias, avg(valor_acto) FILTER (WHERE valor_acto > 0) AS promedio,
-  sum(coalesce(anomaly_score, 0)) / count(*) AS score, count(*) FILTER (WHERE is_anomaly) / count(*) * 100 AS tasa
+  round(sum(coalesce(anomaly_score, 0)) / count(*), 6) AS score, count(*) FILTER (WHERE is_anomaly) / count(*) * 100 AS tasa
 FROM sc GROUP BY matricula"""
 STORED_ALERTS = f"""list_filter([
   CASE WHEN tasa > 50 THEN '{K.STORED_RATE_HIGH}' WHEN tasa > 25 THEN '{K.STORED_RATE_MEDIUM}' END,
@@ -139,7 +139,7 @@ def b16(spark, d):
 
 
 @query("b20_property_report", over("tx", """
-SELECT p.matricula, n AS total_transacciones, round(promedio, 2) AS precio_promedio, ultima AS precio_ultima, score AS score_riesgo,
+SELECT p.matricula, n AS total_transacciones, round(promedio, 4) AS precio_promedio, ultima AS precio_ultima, score AS score_riesgo,
   departamento, municipio, historial FROM puntuado p
 LEFT JOIN (SELECT matricula, valor_acto AS ultima FROM (SELECT *, row_number() OVER (PARTITION BY matricula
   ORDER BY coalesce(fecha_radicacion, DATE '1900-01-01') DESC, pk DESC) AS r FROM tx WHERE valor_acto > 0) WHERE r = 1) USING (matricula)
@@ -156,7 +156,7 @@ def b20(spark, d):
         "matricula", "total_transacciones", "precio_promedio", "precio_ultima", "score_riesgo",
         "ubicacion.departamento", "ubicacion.municipio", F.array_join(entry, " ").alias("historial"),
     )
-    return rounded(out, 3, precio_promedio=2, precio_ultima=2)
+    return rounded(out, 3, precio_promedio=4, precio_ultima=2)
 
 
 @query("b20_stored_property_report", over("sc", """

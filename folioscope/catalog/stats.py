@@ -348,7 +348,7 @@ def l5(spark, d):
 
 
 @query("q1_risk_class_shares", over("sc", """
-SELECT risk_classification, count(*) AS total, round(count(*) * 100.0 / (SELECT count(*) FROM sc), 2) AS percentage
+SELECT risk_classification, count(*) AS total, round(cast(count(*) * 100.0 / (SELECT count(*) FROM sc) AS DECIMAL(20, 8)), 2)::DOUBLE AS percentage
 FROM sc WHERE anomaly_score IS NOT NULL GROUP BY 1"""))
 def q1(spark, d):
     return monitoring.risk_class_shares(sc(spark, d))
@@ -356,7 +356,7 @@ def q1(spark, d):
 
 @query("q2_departments_by_anomaly_rate", over("sc", """
 SELECT departamento, count(*) AS total_transactions, count(*) FILTER (WHERE is_anomaly) AS anomalies,
-  round(count(*) FILTER (WHERE is_anomaly) * 100.0 / count(*), 2) AS anomaly_rate
+  round(cast(count(*) FILTER (WHERE is_anomaly) * 100.0 / count(*) AS DECIMAL(20, 8)), 2)::DOUBLE AS anomaly_rate
 FROM sc GROUP BY departamento ORDER BY anomaly_rate DESC, departamento NULLS LAST LIMIT 10"""))
 def q2(spark, d):
     return monitoring.departments_by_anomaly_rate(sc(spark, d))
@@ -379,7 +379,7 @@ def q3b(spark, d):
 
 
 @query("q4_score_coverage", over("sc", """
-SELECT count(*) AS total, count(anomaly_score) AS con_scores, round(count(anomaly_score) * 100.0 / count(*), 2) AS coverage_pct FROM sc"""))
+SELECT count(*) AS total, count(anomaly_score) AS con_scores, round(cast(count(anomaly_score) * 100.0 / count(*) AS DECIMAL(20, 8)), 2)::DOUBLE AS coverage_pct FROM sc"""))
 def q4(spark, d):
     return rounded(statistics.score_coverage(sc(spark, d)), 2)
 

@@ -112,7 +112,8 @@ def stored_property_summary(scored: DataFrame) -> DataFrame:
         F.avg(positive_value()).alias("precio_promedio"),
         latest_price().alias("precio_ultima"),
         newest_place().alias("ubicacion"),
-        (F.sum(F.coalesce("anomaly_score", F.lit(0.0))) / F.count("*")).alias("score_riesgo"),
+        # Rounded, so that a score on a limit does not depend on the order of the sum.
+        F.round(F.sum(F.coalesce("anomaly_score", F.lit(0.0))) / F.count("*"), 6).alias("score_riesgo"),
     )
     rated = grouped.withColumn("tasa_anomalias", F.col("anomalias") / F.col("total_transacciones") * 100)
     found = stored_alerts(
