@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 20_000
-# Distances held in memory at a time within one task.
-CELLS = 4_000_000
+# Distances held at a time within one task, few enough to stay in the processor cache.
+CELLS = 500_000
 
 
 def blocks_of(df: DataFrame, key: str, block_rows: int) -> Iterator[pd.DataFrame]:
@@ -47,6 +47,17 @@ def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(1))
 
 
+def ranked(group: np.ndarray, distance: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and ranks of the ``k`` nearest entries of every group."""
+    order = np.lexsort((tie, distance, group))
+    sorted_group = group[order]
+    at = np.arange(len(order))
+    first = np.r_[True, sorted_group[1:] != sorted_group[:-1]] if len(order) else at.astype(bool)
+    rank = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
+    kept = rank <= k
+    return order[kept], rank[kept]
+
+
 def best_per_group(df: DataFrame, group: str, neighbour: str, k: int) -> DataFrame:
     """The ``k`` nearest per group; the rank limit is applied before the shuffle as well."""
     order = Window.partitionBy(group).orderBy("distance", neighbour)
@@ -59,9 +70,10 @@ def nearest_to_points(
 ) -> DataFrame:
     """``k`` nearest reference rows of every point: ``key``, ``neighbour``, ``distance``, ``rank``.
 
-    Each point is compared where it lies; nothing but the reference blocks travels.
+    Each point is compared where it lies; nothing but the reference blocks travels, and with one
+    block the result needs no shuffle.
     """
-    schema = f"{key} {dict(points.dtypes)[key]}, neighbour {dict(reference.dtypes)[key]}, distance double"
+    schema = f"{key} {dict(points.dtypes)[key]}, neighbour {dict(reference.dtypes)[key]}, distance double, rank int"
     spark = points.sparkSession
     parts = []
     for block in blocks_of(reference.select(key, vector), key, block_rows):
@@ -78,14 +90,21 @@ def nearest_to_points(
                     piece = batch.iloc[at : at + step]
                     own, values = piece[key].to_numpy(), np.stack(piece[vector].to_numpy()).astype(float)
                     i, j = smallest(squared_distances(values, matrix), wanted)
-                    found = pd.DataFrame({key: own[i], "neighbour": keys[j], "distance": exact_distances(values[i], matrix[j])})
                     if exclude_self:
-                        found = found[found[key] != found["neighbour"]]
-                    found = found.sort_values([key, "distance", "neighbour"])
-                    yield found.groupby(key, sort=False).head(k)
+                        other = own[i] != keys[j]
+                        i, j = i[other], j[other]
+                    distance = exact_distances(values[i], matrix[j])
+                    # The block is sorted by key, so the column number breaks ties by key.
+                    at_best, rank = ranked(i, distance, j, k)
+                    yield pd.DataFrame({
+                        key: own[i[at_best]], "neighbour": keys[j[at_best]], "distance": distance[at_best],
+                        "rank": rank.astype("int32"),
+                    })
 
         parts.append(points.select(key, vector).mapInPandas(compare, schema))
-    return best_per_group(reduce(DataFrame.union, parts), key, "neighbour", k)
+    if len(parts) == 1:
+        return parts[0]
+    return best_per_group(reduce(DataFrame.union, parts).drop("rank"), key, "neighbour", k)
 
 
 def nearest_to_queries(

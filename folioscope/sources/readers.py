@@ -98,6 +98,16 @@ def file_metadata(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread_over_cores(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than there are cores.
+
+    A table of one small file would otherwise occupy one task in every stage up to the next
+    shuffle. A scan with enough splits, as any large table has, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """First ``n`` rows in a declared order."""
     return df.orderBy(*order).limit(n)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.sources.readers import spread_over_cores
+
 TABLES = ["lineitem", "orders", "part", "supplier", "nation"]
 
 RAW_REGISTRY = """
@@ -65,4 +67,6 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def raw_registry(spark: SparkSession, folder: str) -> DataFrame:
     """Raw registry rows; join order and broadcasts are left to Catalyst."""
-    return spark.sql(RAW_REGISTRY, **{t: load_table(spark, folder, t) for t in TABLES})
+    tables = {t: load_table(spark, folder, t) for t in TABLES}
+    tables["lineitem"] = spread_over_cores(tables["lineitem"])
+    return spark.sql(RAW_REGISTRY, **tables)
