@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.catalog.base import acts, cl, fl, over, query, rounded, sc, sql_label, table, tx
 from folioscope.operators import features, outliers, pricing, profiling, scoring
 from folioscope.session import scratch_path
+from folioscope.sources.readers import random_rows
 
 # --- features -----------------------------------------------------------------------------------
 
@@ -275,7 +276,7 @@ def m9(spark, d):
 def m9b(spark, d):
     rows = model_rows(spark, d)
     scaled = scoring.apply_scaler(rows, scoring.fit_scaler(rows, MODEL)).select("pk", F.array(*MODEL).alias("vector"))
-    reference = outliers.reference_sample(scaled, "pk", 2048).persist()
+    reference = random_rows(scaled, 2048, "pk").persist()
     fitted = outliers.fit_density(reference, "pk", "vector", 20)
     return outliers.density_factor(scaled, reference, fitted, "pk", "vector", 20)
 

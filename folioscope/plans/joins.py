@@ -25,9 +25,11 @@ def prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 
 def is_small(lookup: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
-    """Keep a grouped result for reuse and tell whether it may be broadcast."""
+    """Count a grouped result and tell whether it may be broadcast; a small one is kept for reuse."""
     kept = lookup.persist(StorageLevel.MEMORY_AND_DISK)
-    return kept, kept.count() <= max_rows
+    if kept.count() <= max_rows:
+        return kept, True
+    return kept.unpersist(), False
 
 
 def attach_lookup(
@@ -75,7 +77,8 @@ def attach_group_stats(
     # NULL keys match nothing either; they are spread as well. The partition id separates exact
     # copies of one row and is the same when a lost task is run again.
     loose = F.col("__hot").isNotNull() | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spreaded = F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]) + F.spark_partition_id(), F.lit(spread)) + 1
+    hashed = F.xxhash64(*[rows[c] for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))])
+    spreaded = F.pmod(hashed + F.spark_partition_id(), F.lit(spread)) + 1
     tagged = tagged.withColumn("__salt", F.when(loose, spreaded).otherwise(F.lit(0)).cast("int"))
     cold = prefixed(packed.where(F.col("__size") < hot_rows), keys, "__c_").withColumnRenamed("__stats", "__cold")
     cold = cold.drop("__size").withColumn("__c_salt", F.lit(0))

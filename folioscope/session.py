@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is used only where the setting is absent, which is the case in
     local tests alone.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = os.path.join(tempfile.gettempdir(), "folioscope")
         spark.sparkContext.setCheckpointDir(base)
