@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import huffman, mixing, packing, repetition
+from folioscope.llm import huffman, jaccard, mixing, packing, repetition
 from folioscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op3(spark, folder):
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op4_ngram_jaccard_join")
+def op4(spark, folder):
+    return jaccard.similarity_join(table(spark, folder, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op6_repetition_coverage")
 def op6(spark, folder):
     return repetition.repetition(table(spark, folder, "documents")).select(
