@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import huffman, jaccard, mixing, packing, repetition
+from folioscope.llm import huffman, jaccard, mixing, packing, repetition, suffix
 from folioscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op6(spark, folder):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op9_suffix_repeats_removed")
+def op9(spark, folder):
+    return suffix.cut_repeats(table(spark, folder, "documents"), length=400).select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 MIX_SQL = r"""
 WITH base AS (
   SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
