@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import encoder
+from folioscope.llm.tokens import encoded
 from folioscope.plans.joins import attach_lookup
 from folioscope.session import scratch_path
 
@@ -119,8 +119,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text:
     """Blocks of whole documents in ascending ``doc_id`` order, written once below the shared folder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.asarray([end_id], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
         start, keys, sizes, held, total = 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -129,18 +128,14 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text:
             names = [c.split()[0] for c in TOKENS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for key, body in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    ids = own.encode(body) + end
-                    keys.append(key)
-                    sizes.append(len(ids) // 4)
-                    held.append(ids)
-                    total += sizes[-1]
-                    if total >= BLOCK_TOKENS:
-                        yield block()
-                        start, keys, sizes, held, total = start + total, [], [], [], 0
+        for key, ids in encoded(batches, vocabulary, end_id):
+            keys.append(key)
+            sizes.append(len(ids) // 4)
+            held.append(ids)
+            total += sizes[-1]
+            if total >= BLOCK_TOKENS:
+                yield block()
+                start, keys, sizes, held, total = start + total, [], [], [], 0
         if keys:
             yield block()
 

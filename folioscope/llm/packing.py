@@ -10,16 +10,16 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import encoder
+from folioscope.llm.tokens import encoded
 from folioscope.plans.joins import attach_lookup
 from folioscope.session import scratch_path
 
+BATCH_PIECES = 2000
 SCHEMA = ("doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, "
           "bucket int, part int, place long")
 
@@ -44,24 +44,26 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1,
         raise ValueError("longest must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.asarray([end_id], "<u4").tobytes()
-        counts: dict[int, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+        part = TaskContext.get().partitionId()
+        counts, out = {}, []
+
+        def rows() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+        for key, ids in encoded(batches, vocabulary, end_id):
+            total, start = len(ids) // 4, 0
+            for n in piece_lengths(total, longest):
+                piece, bucket = ids[4 * start: 4 * (start + n)], n.bit_length() - 1
+                place = counts[bucket] = counts.get(bucket, -1) + 1
+                out.append((key, start, n, piece, zlib.crc32(piece), total, bucket, part, place))
+                start += n
+            if len(out) >= BATCH_PIECES:
+                yield rows()
                 out = []
-                for key, body in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    ids = memoryview(own.encode(body) + end)
-                    total, start = len(ids) // 4, 0
-                    for n in piece_lengths(total, longest):
-                        piece, bucket = bytes(ids[4 * start: 4 * (start + n)]), n.bit_length() - 1
-                        place = counts[bucket] = counts.get(bucket, -1) + 1
-                        out.append((key, start, n, piece, zlib.crc32(piece), total, bucket, part, place))
-                        start += n
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                names = [c.split()[0] for c in SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+        if out:
+            yield rows()
 
     path = scratch_path(docs.sparkSession, "pieces")
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -8,10 +8,16 @@ through the whole tokenizer.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from array import array
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -22,6 +28,10 @@ BYTE_SPLIT = regex.compile(
 WORD_SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# Text that is tokenized together.
+BATCH_BYTES = 1 << 21
+MARKS = frozenset(".,!?:;")
+
 CUT = re.compile(r"(?<=\S)(?= \S)")
 DOUBLE = re.compile(r"\s\s")
 
@@ -37,15 +47,17 @@ def byte_symbols() -> dict[int, str]:
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.entries = self.tokenizer.model, entries
         self.symbols = byte_symbols()
         self.scheme = self._scheme(json.loads(self.tokenizer.to_str()))
-        self.heads: dict[str, bytes] = {}
+        # Ids of units and of the pieces they split into; the older half is kept until the newer is full.
         self.units: dict[str, bytes] = {}
+        self.older_units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     @staticmethod
     def _scheme(spec: dict) -> str | None:
@@ -64,55 +76,96 @@ class Encoder:
         return None
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= self.entries:
-                self.pieces.clear()
-            shown = piece.encode().decode("latin-1").translate(self.symbols)
-            found = np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+                self.pieces, self.older_pieces = {}, self.pieces
+            found = self.older_pieces.get(piece)
+            if found is None:
+                if piece.isascii() and piece.lstrip(" ").isalnum() and piece.count(" ") < 2:
+                    shown = piece.replace(" ", self.symbols[0x20])
+                else:
+                    shown = piece.encode().decode("latin-1").translate(self.symbols)
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             self.pieces[piece] = found
         return found
 
     def _unit(self, unit: str) -> bytes:
-        if unit and max(unit) > "\xff":
+        if not unit.isascii() and max(unit) > "\xff":
             return self.whole(unit)
         if self.scheme == "word":
-            return b"".join(map(self._piece, WORD_SPLIT.findall(unit.lower())))
-        return b"".join(map(self._piece, BYTE_SPLIT.findall(unit)))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.scheme is None:
-            return self.whole(text)
+            unit = unit.lower()
+        # The usual word, with or without one mark at its end, needs no pattern.
+        word = unit[1:] if unit[:1] == " " else unit
+        if word.isalpha():
+            return self._piece(unit)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self._piece(unit[:-1]) + self._piece(word[-1])
+        pattern = WORD_SPLIT if self.scheme == "word" else BYTE_SPLIT
+        return b"".join(map(self._piece, pattern.findall(unit)))
+
+    def _split(self, text: str) -> list[str]:
+        """Units of a text without the single spaces before them."""
         if self.scheme == "byte" and DOUBLE.search(text):
             units = CUT.split(text)
-            units = [units[0], *(u[1:] for u in units[1:])]
-        else:
-            units = text.split(" ")
-        head, space = units[0], " " if self.scheme == "byte" else ""
-        first = self.heads.get(head)
-        if first is None:
-            if len(self.heads) >= self.entries // 8:
-                self.heads.clear()
-            first = self.heads[head] = self._unit(head)
+            return [units[0], *(u[1:] for u in units[1:])]
+        return text.split(" ")
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. A batch looks every distinct unit up once, in the cache or the vocabulary."""
+        if self.scheme is None:
+            return [self.whole(t) if t else b"" for t in texts]
+        # Nothing here forms cycles; the collector would only walk the lists of units.
+        collected = gc.isenabled()
+        gc.disable()
         try:
-            return first + b"".join(map(self.units.__getitem__, units[1:]))
-        except KeyError:
-            own = set(units[1:])
-            if len(self.units) + len(own) > self.entries:
-                self.units.clear()
-            for unit in own - self.units.keys():
-                self.units[unit] = self._unit(space + unit)
-            return first + b"".join(map(self.units.__getitem__, units[1:]))
+            return self._encode_units(texts)
+        finally:
+            if collected:
+                gc.enable()
+
+    def _encode_units(self, texts: list[str | None]) -> list[bytes]:
+        split = [self._split(t) if t else [""] for t in texts]
+        local = dict.fromkeys(chain.from_iterable(islice(units, 1, None) for units in split))
+        if len(self.units) + len(local) > self.entries:
+            self.units, self.older_units = {}, self.units
+        known, older, make = self.units, self.older_units, self._unit
+        space = " " if self.scheme == "byte" else ""
+        for unit in local:
+            found = known.get(unit)
+            if found is None:
+                found = older.get(unit)
+                if found is None:
+                    found = make(space + unit)
+                known[unit] = found
+            local[unit] = found
+        get = local.__getitem__
+        return [make(units[0]) + b"".join(map(get, islice(units, 1, None))) for units in split]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[int | None, bytes]]:
+    """Id (first column) and token ids with the end id of every row (text in the second column)."""
+    own, end = encoder(path), array("I", [end_id]).tobytes()
+    for batch in batches:
+        sizes = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)])
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH_BYTES, side="right")) - 1)
+            rows = batch.slice(at, stop - at)
+            for key, ids in zip(rows.column(0).to_pylist(), own.encode_all(rows.column(1).to_pylist())):
+                yield key, ids + end
+            at = stop
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary, kept between tasks."""
     if path not in _ENCODERS:
