@@ -4,8 +4,8 @@
    hash range; back comes, per document, how many of its shingles occur anywhere else. A link needs
    that share to reach the threshold, so all other documents are settled (no pair is formed).
 2. Documents with the same shingle set are one node from here on.
-3. Nodes that share a shingle of their prefix (the part that cannot hold the whole required
-   overlap) are compared: first with the leader of that inverted list only. A second pass takes the
+3. Nodes that share a shingle of their prefix (their rarest shingles, one more than a linked set
+   may lack) are compared: first with the leader of that inverted list only. A second pass takes the
    pairs whose members are still in different components and whose distances to a common leader
    differ by no more than the threshold allows (the Jaccard distance is a metric), so a group of
    near copies is never expanded into all pairs.
@@ -152,19 +152,75 @@ def stored_sets(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``shingle, node, n``: the first shingles of each set in hash order, one more than may be missing."""
+def prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
+    """``shingle, node, n``: the rarest shingles of each set, one more than may be missing.
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The order is by the exact number of nodes that hold a shingle. Shingles of one node alone come
+    first and can't lead to another node, so they only use up places; a node with enough of them is
+    settled. Hashes travel packed by range, as for the list lengths.
+    """
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(2)]
-            ends = [len(v) - -(-percent * len(v) // 100) + 1 for v in values]
-            which = np.repeat(np.arange(len(values)), ends)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([v[:e] for v, e in zip(values, ends)]) if values else np.zeros(0, np.int64), pa.int64()),
-                 batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which))], names=["shingle", "node", "n"])
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                values = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column(1)]
+                nodes, hashes = np.repeat(np.arange(len(values)), [len(v) for v in values]), np.concatenate(values)
+                target = ((hashes >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
+                order = np.argsort(target, kind="stable")
+                target, nodes, hashes = target[order], nodes[order], hashes[order]
+                first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])[: len(target)]
+                stop = np.r_[first[1:], len(target)].astype(np.int64)[: len(first)]
+                names, which = [], []
+                for i, j in zip(first, stop):
+                    present, own = np.unique(nodes[i:j], return_inverse=True)
+                    names.append(rows.column(0).take(pa.array(present)).to_pylist())
+                    which.append(own.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(target[first]), pa.array(names, pa.list_(pa.string())), pa.array(which, pa.binary()),
+                    pa.array([hashes[i:j].astype("<u8").tobytes() for i, j in zip(first, stop)], pa.binary())],
+                    names=["part", "nodes", "which", "hashes"])
 
-    return sets.select("node", "n", "shingles").mapInArrow(take, "shingle long, node string, n long")
+    def count(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        names = pa.concat_arrays([c.flatten() for c in group["nodes"].chunks])
+        sizes = [len(x) for x in group["nodes"]]
+        bases = np.cumsum([0, *sizes[:-1]])
+        nodes = np.concatenate([np.frombuffer(w.as_buffer(), "<u4") + b for w, b in zip(group["which"], bases)])
+        hashes = np.concatenate([np.frombuffer(h.as_buffer(), "<u8") for h in group["hashes"]])
+        _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        times = times[which]
+        kept = np.flatnonzero(times > 1)
+        kept = kept[np.argsort(nodes[kept], kind="stable")]
+        nodes, hashes, times = nodes[kept], hashes[kept], times[kept]
+        first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])[: len(nodes)]
+        stop = np.r_[first[1:], len(nodes)].astype(np.int64)[: len(first)]
+        return pa.table({
+            "node": names.take(pa.array(nodes[first])),
+            "hashes": pa.array([hashes[i:j].tobytes() for i, j in zip(first, stop)], pa.binary()),
+            "times": pa.array([times[i:j].astype("<u4").tobytes() for i, j in zip(first, stop)], pa.binary())})
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, found = [], [], []
+            for node, n, hashes, times in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                hashes = np.concatenate([np.frombuffer(x, "<u8") for x in hashes])
+                times = np.concatenate([np.frombuffer(x, "<u4") for x in times])
+                places = n - -(-percent * n // 100) + 1 - (n - len(hashes))
+                if places > 0:
+                    nodes.append(node)
+                    sizes.append(n)
+                    found.append(hashes[np.lexsort((hashes, times))[:places]].view(np.int64))
+            if nodes:
+                which = np.repeat(np.arange(len(nodes)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(found), pa.int64()), pa.array(nodes, pa.string()).take(pa.array(which)),
+                    pa.array(sizes, pa.int64()).take(pa.array(which))], names=["shingle", "node", "n"])
+
+    packed = sets.select("node", "shingles").mapInArrow(scatter, "part int, nodes array<string>, which binary, hashes binary")
+    replies = packed.groupBy("part").applyInArrow(count, "node string, hashes binary, times binary")
+    gathered = replies.groupBy("node").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("times").alias("times"))
+    return gathered.join(sets.select("node", "n"), "node").select("node", "n", "hashes", "times").mapInArrow(take, "shingle long, node string, n long")
 
 
 def occurrence_search(query: np.ndarray, others: list[np.ndarray], percent: int) -> tuple[list[bool], list[int]]:
@@ -235,7 +291,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(search, "x string, y string, linked boolean, far double")
 
 
-def linked_nodes(sets: DataFrame, percent: int) -> DataFrame:
+def linked_nodes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
     """``node, label`` of all nodes that link with another one."""
     spark = sets.sparkSession
 
@@ -245,7 +301,7 @@ def linked_nodes(sets: DataFrame, percent: int) -> DataFrame:
         return spark.read.parquet(path)
 
     alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    posted = prefixes(sets, percent)
+    posted = kept(prefixes(sets, percent, ranges), "prefixes")
     heads = posted.groupBy("shingle").agg(F.count("*").alias("size"), F.min_by("n", "node").alias("m"), F.min("node").alias("head")).where("size > 1")
     posted = kept(posted.join(heads, "shingle").select("shingle", "node", "n", "head", "m"), "postings")
     pairs = posted.where(F.col("node") != F.col("head")).where(alike).select(F.col("head").alias("x"), F.col("node").alias("y")).distinct()
@@ -289,7 +345,9 @@ def similarity_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     path = scratch_path(spark, "nodes")
     able.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("key").alias("key")).write.parquet(path)
     nodes = spark.read.parquet(path)
-    labels = linked_nodes(stored_sets(rows, nodes, size), percent)
+    sets = stored_sets(rows, nodes, size)
+    held = sets.agg(F.sum("n")).first()[0] or 0
+    labels = linked_nodes(sets, percent, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_SHINGLES)))
     joined = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = joined.groupBy("label").agg(F.min("smallest").alias("component_id"))
     named = joined.join(groups, "label").select("node", "component_id")
