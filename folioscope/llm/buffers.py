@@ -49,9 +49,9 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             at = end
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every maximal run of bytes that are not ASCII white space."""
-    solid = ~SPACE[data]
+def word_spans(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every maximal run of bytes other than those ``between`` (ASCII white space)."""
+    solid = ~between[data]
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
@@ -124,3 +124,17 @@ def within_rows(rows: np.ndarray, n: int) -> np.ndarray:
     """Whether the window of ``n`` items that begins at each place stays in one row."""
     count = max(0, len(rows) - n + 1)
     return rows[:count] == rows[n - 1: n - 1 + count]
+
+
+def split_sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end index of each run of equal values."""
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])[: len(values)]
+    return first, np.r_[first[1:], len(values)].astype(np.int64)[: len(first)]
+
+
+def addressed(keys: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
+    """One packed row per destination: its number, then the keys and columns that go there as bytes."""
+    target = (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    first, stop = split_sorted(target[order])
+    return [(int(target[order[i]]), *(c[order[i:j]].tobytes() for c in (keys, *columns))) for i, j in zip(first, stop)]

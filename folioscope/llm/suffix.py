@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.buffers import chunks, powers, prefix_hash, mixed, span_hashes
+from folioscope.llm.buffers import addressed, chunks, powers, prefix_hash, span_hashes, split_sorted
 from folioscope.session import scratch_path
 
 # Samples that one task sorts at a time, and bytes of slices likewise.
@@ -145,15 +145,20 @@ def shared_samples(texts: DataFrame, length: int, ranges: int) -> DataFrame:
         twin = low[1:] == low[:-1]
         hit = (np.r_[False, twin] | np.r_[twin, False])[: len(low)]
         keys, places = keys[hit], places[hit]
+        posts = addressed(keys, ranges, places)
+        return pa.table({"to": pa.array([x[0] for x in posts], pa.int32()), **{n: pa.array([x[i] for x in posts], pa.binary()) for i, n in ((1, "keys"), (2, "places"))}})
+
+    def gather(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["keys"]])
+        places = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group["places"]])
         order = np.lexsort((places, keys))
         keys, places = keys[order], places[order]
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[: len(keys)]
-        stop = np.r_[at[1:], len(keys)].astype(np.int64)[: len(at)]
-        return pa.table({"key": pa.array(keys[at], pa.int64()), "places": pa.array([places[i:j].tobytes() for i, j in zip(at, stop)], pa.binary())})
+        first, stop = split_sorted(keys)
+        return pa.table({"key": pa.array(keys[first], pa.int64()), "places": pa.array([places[i:j].tobytes() for i, j in zip(first, stop)], pa.binary())})
 
     packed = texts.select("key", "text").mapInArrow(scatter, "part int, keys binary, rows binary, places binary, low binary")
-    found = packed.groupBy("part").applyInArrow(match, "key long, places binary")
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+    found = packed.groupBy("part").applyInArrow(match, "to int, keys binary, places binary")
+    return found.groupBy("to").applyInArrow(gather, "key long, places binary")
 
 
 def slices(texts: DataFrame, length: int) -> DataFrame:
@@ -170,11 +175,11 @@ def slices(texts: DataFrame, length: int) -> DataFrame:
         for batch, data, bounds in chunks(batches, "text"):
             digests = batch.column(0).to_pylist()
             steps = np.zeros(len(data) + 1, np.int32)
-            for row, pieces in enumerate(batch.column(1)):
+            for row, found in enumerate(batch.column(1)):
                 if digests[row] == last:
                     continue
                 last = digests[row]
-                places = np.concatenate([np.frombuffer(p.as_buffer(), "<u4") for p in pieces.values]).astype(np.int64)
+                places = np.frombuffer(found.as_buffer(), "<u4").astype(np.int64)
                 most = bounds[row + 1] - bounds[row] - length + 1
                 first, end = np.maximum(places - modulus + 1, 0), np.minimum(places + 1, most)
                 fits = first < end
@@ -351,7 +356,9 @@ def cut_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataF
                 batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.list_(pa.int64()))),
                 pa.array(out[3], pa.binary()), pa.array(out[4], pa.string())], names=["row", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
-    rows = identified(docs, text).join(found, "digest", "left").select("row", "text", "spans", "copies")
+    # The text travels once, inside its row.
+    rows = identified(docs, text).drop("text", "key").join(found, "digest", "left")
+    rows = rows.select("row", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).alias("text"), "spans", "copies")
     inner = rows.schema["row"].dataType.simpleString()
     done = rows.mapInArrow(cut, f"row {inner}, n_bytes long, n_removed long, spans array<array<bigint>>, kept binary, kept_sha256 string")
     return done.withColumn("n_spans", F.size("spans").cast("long"))
