@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.buffers import LOWER, chunks, mixed, prefix_hash, span_hashes, window_hashes, within_rows, word_spans
+from folioscope.llm.buffers import LOWER, addressed, chunks, mixed, prefix_hash, span_hashes, window_hashes, within_rows, word_spans
 from folioscope.llm.graph import components
 from folioscope.session import scratch_path
 
@@ -125,14 +125,21 @@ def shared_counts(rows: DataFrame, size: int, ranges: int) -> DataFrame:
         same = found[1:] == found[:-1]
         hit = np.r_[False, same] | np.r_[same, False]
         docs, n = np.unique(keys[order][hit[: len(found)]], return_counts=True)
-        return pa.table({"key": pa.array(docs, pa.int64()), "shared": pa.array(n, pa.int64())})
+        posts = addressed(docs, ranges, n.astype("<i8"))
+        return pa.table({"to": pa.array([x[0] for x in posts], pa.int32()), **{c: pa.array([x[i] for x in posts], pa.binary()) for i, c in ((1, "keys"), (2, "n"))}})
+
+    def total(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["keys"]])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in group["n"]])
+        keys, which = np.unique(keys, return_inverse=True)
+        return pa.table({"key": pa.array(keys, pa.int64()), "shared": pa.array(np.bincount(which, n).astype(np.int64))})
 
     packed = rows.select("doc_id", "key", "text").mapInArrow(scatter, "part int, keys binary, docs binary, low binary")
-    return packed.groupBy("part").applyInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    return packed.groupBy("part").applyInArrow(count, "to int, keys binary, n binary").groupBy("to").applyInArrow(total, "key long, shared long")
 
 
 def stored_sets(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """``node, n, shingles`` of the chosen nodes (``key, node``), written once."""
+    """``node, n, shingles, a, b`` of the chosen nodes (``key, node``), written once; a and b make up the node's name."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in chunks(batches, "text"):
@@ -148,7 +155,7 @@ def stored_sets(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     texts = rows.select("key", "text").join(chosen.select("key", F.col("node").alias("wanted")), "key").select("key", "wanted", "text")
     found = texts.mapInArrow(shingle, "a long, b long, wanted string, n long, shingles binary").withColumn("node", node_id("a", "b"))
     # Rows repeated with id and text give the same node again.
-    found.where("node = wanted").select("node", "n", "shingles").dropDuplicates(["node"]).write.option("compression", "zstd").parquet(path)
+    found.where("node = wanted").select("node", "n", "shingles", "a", "b").dropDuplicates(["node"]).write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
@@ -171,56 +178,56 @@ def prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
                 target, nodes, hashes = target[order], nodes[order], hashes[order]
                 first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])[: len(target)]
                 stop = np.r_[first[1:], len(target)].astype(np.int64)[: len(first)]
-                names, which = [], []
+                ids, names, which = np.stack([np.asarray(rows.column(c), dtype=np.int64) for c in (2, 3)], 1), [], []
                 for i, j in zip(first, stop):
                     present, own = np.unique(nodes[i:j], return_inverse=True)
-                    names.append(rows.column(0).take(pa.array(present)).to_pylist())
+                    names.append(ids[present].astype("<i8").tobytes())
                     which.append(own.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(target[first]), pa.array(names, pa.list_(pa.string())), pa.array(which, pa.binary()),
+                    pa.array(target[first]), pa.array(names, pa.binary()), pa.array(which, pa.binary()),
                     pa.array([hashes[i:j].astype("<u8").tobytes() for i, j in zip(first, stop)], pa.binary())],
                     names=["part", "nodes", "which", "hashes"])
 
     def count(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        names = pa.concat_arrays([c.flatten() for c in group["nodes"].chunks])
-        sizes = [len(x) for x in group["nodes"]]
-        bases = np.cumsum([0, *sizes[:-1]])
-        nodes = np.concatenate([np.frombuffer(w.as_buffer(), "<u4") + b for w, b in zip(group["which"], bases)])
+        names = np.concatenate([np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)[np.frombuffer(w.as_buffer(), "<u4")] for x, w in zip(group["nodes"], group["which"])])
         hashes = np.concatenate([np.frombuffer(h.as_buffer(), "<u8") for h in group["hashes"]])
         _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
         times = times[which]
-        kept = np.flatnonzero(times > 1)
-        kept = kept[np.argsort(nodes[kept], kind="stable")]
-        nodes, hashes, times = nodes[kept], hashes[kept], times[kept]
-        first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])[: len(nodes)]
-        stop = np.r_[first[1:], len(nodes)].astype(np.int64)[: len(first)]
-        return pa.table({
-            "node": names.take(pa.array(nodes[first])),
-            "hashes": pa.array([hashes[i:j].tobytes() for i, j in zip(first, stop)], pa.binary()),
-            "times": pa.array([times[i:j].astype("<u4").tobytes() for i, j in zip(first, stop)], pa.binary())})
+        kept = times > 1
+        names, hashes, times = names[kept], hashes[kept], times[kept]
+        posts = addressed(np.ascontiguousarray(names[:, 0]), ranges, np.ascontiguousarray(names[:, 1]), hashes, times.astype("<u4"))
+        return pa.table({"to": pa.array([x[0] for x in posts], pa.int32()), **{c: pa.array([x[i] for x in posts], pa.binary()) for i, c in enumerate(("a", "b", "hashes", "times"), 1)}})
+
+    def gather(group: pa.Table) -> pa.Table:
+        a, b, hashes, times = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group[c]]) for c, kind in (("a", "<i8"), ("b", "<i8"), ("hashes", "<u8"), ("times", "<u4")))
+        order = np.lexsort((hashes, times, b, a))
+        a, b, hashes, times = a[order], b[order], hashes[order], times[order]
+        cut = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        first = np.flatnonzero(cut)
+        stop = np.r_[first[1:], len(a)].astype(np.int64)[: len(first)]
+        # Rarest first.
+        return pa.table({"a": pa.array(a[first]), "b": pa.array(b[first]), "hashes": pa.array([hashes[i:j].tobytes() for i, j in zip(first, stop)], pa.binary())})
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, found = [], [], []
-            for node, n, hashes, times in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                hashes = np.concatenate([np.frombuffer(x, "<u8") for x in hashes])
-                times = np.concatenate([np.frombuffer(x, "<u4") for x in times])
+            for node, n, hashes in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                hashes = np.frombuffer(hashes, "<i8")
                 places = n - -(-percent * n // 100) + 1 - (n - len(hashes))
                 if places > 0:
                     nodes.append(node)
                     sizes.append(n)
-                    found.append(hashes[np.lexsort((hashes, times))[:places]].view(np.int64))
+                    found.append(hashes[:places])
             if nodes:
                 which = np.repeat(np.arange(len(nodes)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(found), pa.int64()), pa.array(nodes, pa.string()).take(pa.array(which)),
                     pa.array(sizes, pa.int64()).take(pa.array(which))], names=["shingle", "node", "n"])
 
-    packed = sets.select("node", "shingles").mapInArrow(scatter, "part int, nodes array<string>, which binary, hashes binary")
-    replies = packed.groupBy("part").applyInArrow(count, "node string, hashes binary, times binary")
-    gathered = replies.groupBy("node").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("times").alias("times"))
-    return gathered.join(sets.select("node", "n"), "node").select("node", "n", "hashes", "times").mapInArrow(take, "shingle long, node string, n long")
+    packed = sets.select("node", "shingles", "a", "b").mapInArrow(scatter, "part int, nodes binary, which binary, hashes binary")
+    replies = packed.groupBy("part").applyInArrow(count, "to int, a binary, b binary, hashes binary, times binary")
+    gathered = replies.groupBy("to").applyInArrow(gather, "a long, b long, hashes binary").select(node_id("a", "b").alias("node"), "hashes")
+    return gathered.join(sets.select("node", "n"), "node").select("node", "n", "hashes").mapInArrow(take, "shingle long, node string, n long")
 
 
 def occurrence_search(query: np.ndarray, others: list[np.ndarray], percent: int) -> tuple[list[bool], list[int]]:
@@ -260,7 +267,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     salted = pairs.join(sizes, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("groups")).alias("salt"))
     queries = salted.select("x", "salt").distinct().select("x", "salt", F.col("x").alias("node"), F.lit(0).alias("role"))
     asked = queries.union(salted.select("x", "salt", F.col("y").alias("node"), F.lit(1).alias("role")))
-    gathered = asked.join(sets, "node").select("x", "salt", "role", "node", "shingles")
+    gathered = asked.join(sets.select("node", "shingles"), "node").select("x", "salt", "role", "node", "shingles")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, query, names, others = None, None, [], []
