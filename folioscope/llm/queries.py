@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import huffman, jaccard, mixing, packing, repetition, suffix
+from folioscope.llm import collision, html, huffman, jaccard, mixing, neighbours, packing, repetition, suffix, toxicity
+from folioscope.llm.labelled import held_out
 from folioscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_toxic_spans_crf")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.tag(docs, model).select(
+        F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "score", "predicted", "toxic_tokens", "spans")
+
+
 @query("op2_huffman_token_ids")
 def op2(spark, folder):
     files = scratch_path(spark, "huffman")
@@ -52,12 +61,30 @@ def op4(spark, folder):
     return jaccard.similarity_join(table(spark, folder, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op5_collision_counting")
+def op5(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return collision.search(collision.build_index(vectors, k=5), vectors.where("vec_id % 50 = 0"), k=5)
+
+
 @query("op6_repetition_coverage")
 def op6(spark, folder):
     return repetition.repetition(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_site_style_tree")
+def op7(spark, folder):
+    return html.main_text(table(spark, folder, "pages")).select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query("op8_quality_neighbours")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents")
+    space = neighbours.learn(docs, table(spark, folder, "labels"))
+    return neighbours.score(docs, space).select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "score", "predicted")
+
+
 @query("op9_suffix_repeats_removed")
 def op9(spark, folder):
     return suffix.cut_repeats(table(spark, folder, "documents"), length=400).select(
