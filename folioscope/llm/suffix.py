@@ -335,8 +335,8 @@ def cut_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataF
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if it is covered by a string of
     ``length`` bytes that begins anywhere else too, in the same text or another; all strings are
-    judged on the input. ``kept`` are the remaining bytes, ``spans`` the removed ranges. Texts
-    shorter than ``length`` keep everything; repeated rows remove each other when long enough; an
+    judged on the input. ``spans`` are the removed byte ranges, ``kept`` is the remaining text without
+    characters that lost some of their bytes, ``kept_sha256`` is of all remaining bytes. Texts shorter than ``length`` keep everything; repeated rows remove each other when long enough; an
     empty table gives no rows; further columns stay inside ``row``. Texts are read whole.
     """
     found = spans_of(docs, length, text)
@@ -350,15 +350,15 @@ def cut_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataF
                 spans = [(0, len(body))] if copies else merged(pieces) if pieces else []
                 at = [0, *(x for span in spans for x in span), len(body)]
                 kept = b"".join(body[i:j].tobytes() for i, j in zip(at[::2], at[1::2]))
-                for column, value in zip(out, (len(body), len(body) - len(kept), [list(s) for s in spans], kept, hashlib.sha256(kept).hexdigest())):
+                for column, value in zip(out, (len(body), len(body) - len(kept), [list(s) for s in spans], kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.list_(pa.int64()))),
-                pa.array(out[3], pa.binary()), pa.array(out[4], pa.string())], names=["row", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+                pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["row", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
     # The text travels once, inside its row.
     rows = identified(docs, text).drop("text", "key").join(found, "digest", "left")
     rows = rows.select("row", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).alias("text"), "spans", "copies")
     inner = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(cut, f"row {inner}, n_bytes long, n_removed long, spans array<array<bigint>>, kept binary, kept_sha256 string")
+    done = rows.mapInArrow(cut, f"row {inner}, n_bytes long, n_removed long, spans array<array<bigint>>, kept string, kept_sha256 string")
     return done.withColumn("n_spans", F.size("spans").cast("long"))
