@@ -10,6 +10,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -57,7 +58,9 @@ def main() -> None:
     from folioscope.catalog.base import cl, raw
     from folioscope.session import build_session
 
-    spark = build_session(f"local[{CPUS}]", int(CPUS), **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
+    shared = tempfile.TemporaryDirectory(prefix="bench-")
+    memory = os.environ.get("BENCH_MEMORY", "16g")
+    spark = build_session(f"local[{CPUS}]", int(CPUS), **{"spark.driver.memory": memory, "spark.checkpoint.dir": shared.name})
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
 
@@ -90,6 +93,7 @@ def main() -> None:
         **rates,
     }))
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

@@ -72,9 +72,9 @@ SELECT departamento, municipio, count(*) AS transaction_count, round(avg(valor_a
 FROM sc WHERE municipio IS NOT NULL {where} GROUP BY 1, 2"""
 
 
-@query("e11_municipality_map", over("sc", TOWNS.format(where="") + " ORDER BY transaction_count DESC, departamento NULLS FIRST, municipio LIMIT 1000"))
+@query("e11_municipality_map", over("sc", TOWNS.format(where="")))
 def e11(spark, d):
-    found = dashboard.municipality_map(sc(spark, d), 1000)
+    found = dashboard.municipality_map(sc(spark, d))
     return rounded(found.drop("nivel", "color", "radio"), 6, average_value=2)
 
 

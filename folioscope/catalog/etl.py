@@ -36,6 +36,11 @@ def s3(spark, d):
     return readers.file_metadata(spark, f"{d}/lineitem.parquet")
 
 
+@query("s3_rows_per_file", "SELECT count(*) AS num_rows, (SELECT count(*) FROM (DESCRIBE lineitem)) AS num_columns FROM lineitem")
+def s3b(spark, d):
+    return readers.file_metadata(spark, f"{d}/lineitem.parquet").groupBy("num_columns").agg(F.sum("num_rows").alias("num_rows"))
+
+
 def csv_copy(spark, d):
     """The orders as CSV files, written by Spark."""
     path = scratch_path(spark, "csv") + "/orders.csv"
@@ -108,7 +113,7 @@ def s9(spark, d):
     return readers.first_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 500, ["o_orderkey"])
 
 
-@query("s10_random_rows")
+@query("s10_random_rows", "SELECT * FROM orders ORDER BY ('0x' || left(md5('42|' || o_orderkey), 8))::BIGINT, o_orderkey LIMIT 1000")
 def s10(spark, d):
     return readers.random_rows(table(spark, d, "orders"), 1000, "o_orderkey")
 
@@ -364,7 +369,8 @@ def p19(spark, d):
     )
 
 
-@query("p20_location_bucket")
+@query("p20_location_bucket", over("tx", """
+SELECT pk, ('0x' || left(md5(concat_ws('_', departamento, municipio)), 8))::BIGINT % 1000 AS location_hash FROM tx"""))
 def p20(spark, d):
     return tx(spark, d).select("pk", features.location_bucket().alias("location_hash"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from folioscope.catalog.base import acts, cl, fl, over, query, rounded, sc, sql_label, table, tx
 from folioscope.operators import features, outliers, pricing, profiling, scoring
 from folioscope.session import scratch_path
-from folioscope.sources.readers import random_rows
 
 # --- features -----------------------------------------------------------------------------------
 
@@ -96,7 +95,8 @@ def m5(spark, d):
     return acts(spark, d).select("pk", text.alias("vector"))
 
 
-@query("m6_stable_split")
+@query("m6_stable_split", over("tx", """
+SELECT ('0x' || left(md5('42|' || pk), 8))::BIGINT % 10000 < 2000 AS es_prueba, count(*) AS n FROM tx GROUP BY 1"""))
 def m6(spark, d):
     marked = features.split_rows(tx(spark, d).select("pk"), "pk")
     return marked.groupBy("es_prueba").agg(F.count("*").alias("n"))
@@ -233,6 +233,10 @@ def k6b(spark, d):
 MODEL = ["valor_acto", "year_radica", "count_a", "count_de", "area_terreno", "area_construida", "orip"]
 
 
+# Cells that the density search of the registered queries looks into; tests measure the recall.
+PROBES = 4
+
+
 def model_rows(spark, d):
     rows = cl(spark, d)
     return rows.select("pk", *features.select_numbers(rows, MODEL))
@@ -276,9 +280,8 @@ def m9(spark, d):
 def m9b(spark, d):
     rows = model_rows(spark, d)
     scaled = scoring.apply_scaler(rows, scoring.fit_scaler(rows, MODEL)).select("pk", F.array(*MODEL).alias("vector"))
-    reference = random_rows(scaled, 2048, "pk").persist()
-    fitted = outliers.fit_density(reference, "pk", "vector", 20)
-    return outliers.density_factor(scaled, reference, fitted, "pk", "vector", 20)
+    fitted = outliers.fit_density(scaled, "pk", "vector", 20, PROBES)
+    return outliers.density_factor(scaled, scaled, fitted, "pk", "vector", 20, PROBES)
 
 
 @query("m20_reconstruction_error")
@@ -292,7 +295,7 @@ def m20(spark, d):
 
 @query("m21_table_scored")
 def m21(spark, d):
-    scores = outliers.score_table(model_rows(spark, d), "pk", MODEL)
+    scores = outliers.score_table(model_rows(spark, d), "pk", MODEL, probes=PROBES)
     target = cl(spark, d).select(
         "pk", F.lit(None).cast("double").alias("anomaly_score"), F.lit(None).cast("boolean").alias("is_anomaly"),
         F.lit(None).cast("string").alias("risk_classification"),

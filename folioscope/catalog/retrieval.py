@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.catalog.base import over, query, rounded, table, tx
 from folioscope.operators import retrieval
 from folioscope.plans.neighbours import cosine
+from folioscope.session import scratch_path
 
 # The queries are the mean vectors of the ten labels, so they come from the whole table.
 CENTROIDS = """
@@ -98,7 +99,10 @@ def r6b(spark, d):
 
 @query("r6_collection_cleared", "SELECT doc_id FROM documents WHERE false")
 def r6c(spark, d):
-    return retrieval.cleared(table(spark, d, "documents").select("doc_id"))
+    path = scratch_path(spark, "collection")
+    table(spark, d, "documents").select("doc_id").write.parquet(path)
+    retrieval.clear(spark, path)
+    return spark.read.parquet(path)
 
 
 @query("r7_documents_deleted", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")

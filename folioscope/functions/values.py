@@ -102,3 +102,9 @@ def truth(c: Column) -> Column:
 
 def as_int(c: Column) -> Column:
     return F.coalesce(c.cast("int"), F.lit(0))
+
+
+def stable_number(*parts: Column) -> Column:
+    """A number from 0 to 2^32 - 1 that depends on the text of the parts alone, in any engine."""
+    text = F.concat_ws("|", *[c.cast("string") for c in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")

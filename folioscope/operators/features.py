@@ -169,12 +169,12 @@ def online_features() -> Column:
 
 
 def location_bucket(buckets: int = 1000) -> Column:
-    return F.pmod(F.xxhash64(F.concat_ws("_", "departamento", "municipio")), F.lit(buckets))
+    return V.stable_number(F.concat_ws("_", "departamento", "municipio")) % buckets
 
 
 def split_rows(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Mark test rows by a hash of the key: the same on every run and every partitioning."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
+    bucket = V.stable_number(F.lit(seed), F.col(key)) % 10_000
     return df.withColumn("es_prueba", bucket < int(test_share * 10_000))
 
 

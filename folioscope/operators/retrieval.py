@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from folioscope.plans.neighbours import BLOCK_ROWS, nearest_to_queries
+from folioscope.plans.neighbours import nearest_to_queries
 
 
 def with_document_ids(docs: DataFrame, text: str = "document") -> DataFrame:
@@ -39,11 +39,14 @@ def embed_texts(docs: DataFrame, text: str, size: int = 256, name: str = "embedd
 def search(
     collection: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding",
     query_key: str = "query_id", query_vector: str = "embedding", where: Column | None = None,
-    block_rows: int = BLOCK_ROWS,
+    probes: int | None = None,
 ) -> DataFrame:
-    """``k`` nearest documents of each query; the metadata filter is applied to the scan."""
+    """``k`` nearest documents of each query; the metadata filter is applied to the scan.
+
+    ``probes`` limits the cells a query looks into; without it the search is exact.
+    """
     rows = collection if where is None else collection.where(where)
-    return nearest_to_queries(rows, queries, key, vector, query_key, query_vector, k, block_rows)
+    return nearest_to_queries(rows, queries, key, vector, query_key, query_vector, k, probes)
 
 
 def by_id(collection: DataFrame, ids: list, key: str = "id") -> DataFrame:
@@ -61,8 +64,10 @@ def count_documents(collection: DataFrame) -> DataFrame:
     return collection.agg(F.count("*").alias("documentos"))
 
 
-def cleared(collection: DataFrame) -> DataFrame:
-    return collection.where(F.lit(False))
+def clear(spark: SparkSession, path: str) -> None:
+    """Empty a stored collection; its columns stay."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def context_blocks(found: DataFrame, query_key: str = "query_id") -> DataFrame:

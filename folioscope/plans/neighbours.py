@@ -1,34 +1,30 @@
-"""Exact nearest neighbours without pairing all rows.
-
-The smaller side is sent to the tasks in blocks of a fixed number of rows; every task compares its
-rows with one block at a time in NumPy and emits only the best ``k``. One block covers the usual
-case. A side of any size is handled by further blocks, whose partial results are merged.
+"""Exact nearest neighbours by a partitioned join over cells around pivots.
+
+Reference rows are assigned to the nearest of a bounded number of pivots, drawn by key hash. A point
+is first compared with its home cell, which bounds how far its ``k``-th neighbour can be; by the
+triangle inequality at the pivots only cells whose radius reaches into that bound can hold a nearer
+row, and the point is sent to those alone. Large cells are split into parts and the points of a cell
+into blocks, so a task compares two bounded sets whatever the size of either side. Nothing but the
+pivots and one row per cell passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
+from folioscope.session import scratch_path
+
+# At most so many pivots; about the square root of the reference rows otherwise.
+MAX_PIVOTS = 1024
+# Rows of either side that one task compares at a time.
+PART_ROWS = 4096
 # Distances held at a time within one task, few enough to stay in the processor cache.
 CELLS = 500_000
 
 
-def blocks_of(df: DataFrame, key: str, block_rows: int) -> Iterator[pd.DataFrame]:
-    """Blocks of about ``block_rows`` rows, cut by a hash of the key and sorted by it."""
-    n = df.count()
-    parts = max(1, -(-n // block_rows))
-    for part in range(parts):
-        chosen = df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        yield chosen.toPandas().sort_values(key, ignore_index=True)
-
-
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     gram = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.maximum(gram, 0.0)
@@ -58,95 +54,145 @@ def ranked(group: np.ndarray, distance: np.ndarray, tie: np.ndarray, k: int) ->
     return order[kept], rank[kept]
 
 
-def best_per_group(df: DataFrame, group: str, neighbour: str, k: int) -> DataFrame:
-    """The ``k`` nearest per group; the rank limit is applied before the shuffle as well."""
-    order = Window.partitionBy(group).orderBy("distance", neighbour)
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def nearest_to_points(
-    points: DataFrame, reference: DataFrame, key: str, vector: str, k: int,
-    exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``k`` nearest reference rows of every point: ``key``, ``neighbour``, ``distance``, ``rank``.
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
 
-    Each point is compared where it lies; nothing but the reference blocks travels, and with one
-    block the result needs no shuffle.
+def nearest(points: DataFrame, reference: DataFrame, k: int, exclude_self: bool = False, probes: int | None = None) -> DataFrame:
+    """``point, neighbour, distance, rank`` for ``points`` (``point, vector``) and ``reference`` (``neighbour, vector``).
+
+    Neighbours are ranked by (distance, key). ``probes`` limits a point to that many cells nearest
+    to it, a quality parameter; without it the result is that of comparing all pairs. Of equal
+    reference vectors only the ``k + 1`` smallest keys can be neighbours, so further copies are left
+    out before the comparison. An empty side gives an empty result.
     """
-    schema = f"{key} {dict(points.dtypes)[key]}, neighbour {dict(reference.dtypes)[key]}, distance double, rank int"
     spark = points.sparkSession
-    parts = []
-    for block in blocks_of(reference.select(key, vector), key, block_rows):
-        if not len(block):
-            continue
-        held = spark.sparkContext.broadcast((block[key].to_numpy(), np.stack(block[vector].to_numpy()).astype(float)))
-
-        def compare(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            keys, matrix = held.value
-            step = max(1, CELLS // len(keys))
-            wanted = k + 1 if exclude_self else k
+    schema = f"point {dict(points.dtypes)['point']}, neighbour {dict(reference.dtypes)['neighbour']}, distance double"
+    empty = spark.createDataFrame([], schema + ", rank int")
+    points = points.select("point", F.col("vector").cast("array<double>").alias("vector"))
+    reference = reference.select("neighbour", F.col("vector").cast("array<double>").alias("vector"))
+    copies = Window.partitionBy("vector").orderBy("neighbour")
+    distinct = reference.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k + 1).drop("__copy")
+    distinct = _kept(distinct, "reference")
+    count = distinct.count()
+    if not count:
+        return empty
+    wanted = min(MAX_PIVOTS, max(1, int(count**0.5)))
+    drawn = distinct.orderBy(F.xxhash64("neighbour"), "neighbour").limit(wanted).toPandas()
+    held = spark.sparkContext.broadcast(_matrix(drawn["vector"]))
+
+    def assign(key: str):
+        def run(batches):
+            pivots = held.value
             for batch in batches:
-                for at in range(0, len(batch), step):
-                    piece = batch.iloc[at : at + step]
-                    own, values = piece[key].to_numpy(), np.stack(piece[vector].to_numpy()).astype(float)
-                    i, j = smallest(squared_distances(values, matrix), wanted)
-                    if exclude_self:
-                        other = own[i] != keys[j]
-                        i, j = i[other], j[other]
-                    distance = exact_distances(values[i], matrix[j])
-                    # The block is sorted by key, so the column number breaks ties by key.
-                    at_best, rank = ranked(i, distance, j, k)
-                    yield pd.DataFrame({
-                        key: own[i[at_best]], "neighbour": keys[j[at_best]], "distance": distance[at_best],
-                        "rank": rank.astype("int32"),
-                    })
-
-        parts.append(points.select(key, vector).mapInPandas(compare, schema))
-    if len(parts) == 1:
-        return parts[0]
-    return best_per_group(reduce(DataFrame.union, parts).drop("rank"), key, "neighbour", k)
+                if not len(batch):
+                    continue
+                x = _matrix(batch["vector"])
+                cell, far = np.empty(len(x), np.int32), np.empty(len(x))
+                for at in range(0, len(x), 2048):
+                    part = x[at : at + 2048]
+                    cell[at : at + 2048] = squared_distances(part, pivots).argmin(1)
+                    far[at : at + 2048] = exact_distances(part, pivots[cell[at : at + 2048]])
+                yield batch.assign(cell=cell, far=far)
+
+        return run, f"{key}, vector array<double>, cell int, far double"
+
+    run, kinds = assign(f"neighbour {dict(reference.dtypes)['neighbour']}")
+    placed = _kept(distinct.mapInPandas(run, kinds), "cells")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.max("far").alias("radius"))
+    # One row per pivot at most.
+    cells = sizes.toPandas().sort_values("cell", ignore_index=True)
+    known = spark.createDataFrame(cells, "cell int, parts int, radius double")
+    parted = placed.join(F.broadcast(known.select("cell", "parts")), "cell").select(
+        "neighbour", "vector", "cell", F.pmod(F.xxhash64("neighbour"), F.col("parts")).cast("int").alias("part"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"point": left["point"][:0], "neighbour": right["neighbour"][:0], "distance": pd.Series([], dtype=float)})
+        if not len(left) or not len(right):
+            return none
+        right = right.sort_values("neighbour", ignore_index=True)
+        own, other, bound = left["point"].to_numpy(), right["neighbour"].to_numpy(), left["bound"].to_numpy()
+        x, y = _matrix(left["vector"]), _matrix(right["vector"])
+        step, out = max(1, CELLS // len(y)), [none]
+        for at in range(0, len(x), step):
+            i, j = smallest(squared_distances(x[at : at + step], y), k + 1 if exclude_self else k)
+            i = i + at
+            if exclude_self:
+                apart = own[i] != other[j]
+                i, j = i[apart], j[apart]
+            distance = exact_distances(x[i], y[j])
+            # A row beyond the bound from the home cell is no neighbour.
+            within = distance <= bound[i]
+            i, j, distance = i[within], j[within], distance[within]
+            best, _ = ranked(i, distance, j, k)
+            out.append(pd.DataFrame({"point": own[i[best]], "neighbour": other[j[best]], "distance": distance[best]}))
+        return pd.concat(out[1:]) if len(out) > 1 else none
+
+    def against(asked: DataFrame) -> DataFrame:
+        """Best rows of every (point, cell) pair of ``asked``, part by part."""
+        blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("blocks"))
+        sent = asked.join(blocks, "cell").join(F.broadcast(known.select("cell", "parts")), "cell").select(
+            "point", "vector", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+            F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int").alias("block"))
+        copied = parted.join(blocks, "cell").select("neighbour", "vector", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        by = ["cell", "part", "block"]
+        return sent.groupBy(*by).cogroup(copied.groupBy(*by)).applyInPandas(lambda left, right: compare(left, right), schema)
+
+    run, kinds = assign(f"point {dict(points.dtypes)['point']}")
+    homes = _kept(points.mapInPandas(run, kinds), "points")
+    first = _kept(against(homes.withColumn("bound", F.lit(float("inf")))), "near")
+    order = Window.partitionBy("point").orderBy("distance", "neighbour")
+    if probes == 1 or len(cells) == 1:
+        return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("point", F.col("distance").alias("bound"))
+    number, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy()
+
+    def reach(batches):
+        pivots = held.value[number]
+        for batch in batches:
+            x, bound = _matrix(batch["vector"]), batch["bound"].fillna(np.inf).to_numpy()
+            for at in range(0, len(x), 1024):
+                part = slice(at, at + 1024)
+                away = np.sqrt(squared_distances(x[part], pivots))
+                # Rounding of the fast distances must not rule a cell out.
+                slack = 1e-6 * (1 + away + radius)
+                open_ = (away - radius <= bound[part, None] + slack) & (number != batch["cell"].to_numpy()[part, None])
+                if probes is not None and probes - 1 < open_.shape[1]:
+                    ordered = np.where(number == batch["cell"].to_numpy()[part, None], -1, away)
+                    open_ &= away <= np.partition(ordered, probes - 1, axis=1)[:, probes - 1 : probes]
+                i, j = np.nonzero(open_)
+                rows = batch.iloc[part].iloc[i]
+                yield pd.DataFrame({"point": rows["point"].to_numpy(), "vector": rows["vector"].to_numpy(), "bound": bound[part][i], "cell": number[j].astype(np.int32)})
+
+    asked = homes.join(bounds, "point", "left").mapInPandas(reach, f"point {dict(points.dtypes)['point']}, vector array<double>, bound double, cell int")
+    both = first.unionByName(against(_kept(asked, "asked")))
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest_to_queries(
-    corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int,
-    block_rows: int = BLOCK_ROWS,
+def nearest_to_points(
+    points: DataFrame, reference: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, probes: int | None = None,
 ) -> DataFrame:
-    """``k`` nearest corpus rows of every query: ``query_key``, ``key``, ``distance``, ``rank``.
+    """``k`` nearest reference rows of every point: ``key``, ``neighbour``, ``distance``, ``rank``."""
+    found = nearest(
+        points.select(F.col(key).alias("point"), F.col(vector).alias("vector")),
+        reference.select(F.col(key).alias("neighbour"), F.col(vector).alias("vector")), k, exclude_self, probes)
+    return found.withColumnRenamed("point", key)
 
-    The corpus may be of any size and is scanned once per block of queries; a task keeps a running
-    best ``k`` per query, so it emits at most that many rows however much it reads.
-    """
-    schema = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {dict(corpus.dtypes)[key]}, distance double"
-    spark = corpus.sparkSession
-    parts = []
-    for block in blocks_of(queries.select(query_key, query_vector), query_key, block_rows):
-        if not len(block):
-            continue
-        held = spark.sparkContext.broadcast(
-            (block[query_key].to_numpy(), np.stack(block[query_vector].to_numpy()).astype(float))
-        )
-
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            keys, matrix = held.value
-            step = max(1, CELLS // len(keys))
-            best = pd.DataFrame({query_key: keys[:0], key: [], "distance": []})
-            for batch in batches:
-                for at in range(0, len(batch), step):
-                    piece = batch.iloc[at : at + step]
-                    values = np.stack(piece[vector].to_numpy()).astype(float)
-                    i, j = smallest(squared_distances(matrix, values), k)
-                    found = pd.DataFrame({
-                        query_key: keys[i], key: piece[key].to_numpy()[j],
-                        "distance": exact_distances(matrix[i], values[j]),
-                    })
-                    merged = pd.concat([best, found]) if len(best) else found
-                    merged = merged.sort_values([query_key, "distance", key])
-                    best = merged.groupby(query_key, sort=False).head(k)
-            if len(best):
-                yield best
-
-        parts.append(corpus.select(key, vector).mapInPandas(search, schema))
-    return best_per_group(reduce(DataFrame.union, parts), query_key, key, k)
+
+def nearest_to_queries(
+    corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int, probes: int | None = None,
+) -> DataFrame:
+    """``k`` nearest corpus rows of every query: ``query_key``, ``key``, ``distance``, ``rank``."""
+    found = nearest(
+        queries.select(F.col(query_key).alias("point"), F.col(query_vector).alias("vector")),
+        corpus.select(F.col(key).alias("neighbour"), F.col(vector).alias("vector")), k, False, probes)
+    return found.select(F.col("point").alias(query_key), F.col("neighbour").alias(key), "distance", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:

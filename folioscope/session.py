@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -35,12 +35,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the setting is absent, which is the case in
-    local tests alone.
+    Where the setting is absent, a local session gets a folder below the machine's temporary one;
+    a session on a cluster gets an error, since its executors would not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "folioscope")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 

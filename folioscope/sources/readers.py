@@ -119,7 +119,7 @@ def random_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     The ``n`` smallest hashes are taken. A threshold on the hash first leaves a few times ``n``
     rows, so that the final ordering is small whatever the number of partitions.
     """
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2**31)) / 2**31
+    drawn = V.stable_number(F.lit(seed), F.col(key)) / 2**32
     share = min(1.0, (4.0 * n + 100) / max(df.count(), 1))
     return df.where(drawn < share).orderBy(drawn, F.col(key)).limit(n)
 

@@ -4,8 +4,9 @@ from folioscope.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[8]", 8, **{"spark.driver.memory": "8g"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("local[8]", 8, **{"spark.driver.memory": "8g", "spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -102,26 +102,58 @@ def brute(a, b, k, skip_self):
     return np.sort(d, axis=1)[:, :k]
 
 
-@pytest.mark.parametrize("block_rows", [10_000, 70])
-def test_neighbours(points, block_rows):
+@pytest.mark.parametrize("part_rows", [10_000, 40])
+def test_neighbours(points, part_rows, monkeypatch):
     matrix, df = points
-    found = neighbours.nearest_to_points(df, df, "id", "vec", 6, exclude_self=True, block_rows=block_rows).toPandas()
+    monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
+    found = neighbours.nearest_to_points(df, df, "id", "vec", 6, exclude_self=True).toPandas()
     got = found.sort_values(["id", "rank"])["distance"].to_numpy().reshape(300, 6)
     np.testing.assert_allclose(got, brute(matrix, matrix, 6, True), atol=1e-7)
     queries = df.where("id >= 290").withColumnsRenamed({"id": "q", "vec": "qv"})
-    top = neighbours.nearest_to_queries(df, queries, "id", "vec", "q", "qv", 6, block_rows=4 if block_rows == 70 else 100).toPandas()
+    top = neighbours.nearest_to_queries(df, queries, "id", "vec", "q", "qv", 6).toPandas()
     got = top.sort_values(["q", "rank"])["distance"].to_numpy().reshape(10, 6)
     np.testing.assert_allclose(got, brute(matrix[290:], matrix, 6, False), atol=1e-7)
 
 
-def test_density_paths_agree(points):
+def test_neighbours_of_nothing(points):
+    df, none = points[1], points[1].where("id < 0")
+    for a, b in ((df, none), (none, df), (none, none)):
+        found = neighbours.nearest_to_points(a, b, "id", "vec", 3)
+        assert found.columns == ["id", "neighbour", "distance", "rank"] and found.count() == 0
+
+
+def test_tied_points_do_not_depend_on_the_layout(spark, monkeypatch):
+    """A small grid where nearly all distances tie, and a third of the rows are one vector."""
+    rows = [(i, [float(i % 5), float(i // 5 % 5)]) if i % 3 else (i, [2.0, 2.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    matrix = np.array([v for _, v in rows])
+    d = np.sqrt(((matrix[:, None] - matrix[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    expected = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), d[i]))[:7]}
+    for parts, part_rows, pivots in ((3, 4096, 1024), (11, 20, 4)):
+        monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
+        monkeypatch.setattr(neighbours, "MAX_PIVOTS", pivots)
+        shuffled = df.repartition(parts)
+        found = neighbours.nearest_to_points(shuffled, shuffled, "id", "vec", 7, exclude_self=True)
+        assert {(r.id, r.neighbour) for r in found.collect()} == expected
+
+
+def test_recall_of_limited_probes(spark):
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=(2000, 7)) * rng.uniform(0.2, 1, size=(2000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "id long, vec array<double>")
+    exact = {(r.id, r.neighbour) for r in neighbours.nearest_to_points(df, df, "id", "vec", 20, exclude_self=True).collect()}
+    some = {(r.id, r.neighbour) for r in neighbours.nearest_to_points(df, df, "id", "vec", 20, exclude_self=True, probes=4).collect()}
+    assert len(exact) == 40_000 and len(exact & some) / len(exact) > 0.6
+
+
+def test_density(points):
     df = points[1].where("id >= 20")
     fitted = outliers.fit_density(df, "id", "vec", 10)
     lof = {r.id: r.lof for r in fitted.collect()}
     assert max(lof, key=lof.get) == 299
-    one = {r.id: r.lof for r in outliers.density_factor(df, df, fitted, "id", "vec", 10).collect()}
-    many = {r.id: r.lof for r in outliers.density_factor(df, df, fitted, "id", "vec", 10, block_rows=90).collect()}
-    assert one == pytest.approx(many, rel=1e-6)
+    new = outliers.density_factor(df, df, fitted, "id", "vec", 10)
+    assert {r.id for r in new.collect()} == set(lof)
 
 
 def test_forest(spark, tmp_path):
