@@ -29,9 +29,9 @@ FEATURES = 1 << 18
 BEGINNINGS = (4, 5, 6)
 LANE = 128
 # Sample for fitting: documents per label, and bytes of the longest one.
-PER_CLASS, MAX_BYTES = 2000, 1 << 15
+PER_CLASS, MAX_BYTES = 1000, 1 << 14
 # Documents of each label among them whose tokens fit the field; all of them decide which tokens are toxic.
-FIELD_DOCS = 600
+FIELD_DOCS = 250
 SPAN_MARGINAL = 0.5
 REJECT = 0.7
 
@@ -172,7 +172,9 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int], rounds: int = 40, r
         weights, model.moves, model.start = weights + scaled[0], model.moves + scaled[1], model.start + scaled[2]
     model.weights[used] = weights
     model.weights[0] = 0
-    marginal, _, _ = forward_backward(model.weights[all_numbers].sum(1), all_docs, model.moves, model.start)
+    marginal, at = np.zeros(len(all_docs)), np.searchsorted(all_docs, np.arange(0, len(rows) + 200, 200))
+    for i, j in zip(at[:-1], at[1:]):
+        marginal[i:j] = forward_backward(model.weights[all_numbers[i:j]].sum(1), all_docs[i:j], model.moves, model.start)[0]
     x = outer_features(marginal, all_docs, len(rows))
     # Each label weighs as it does among all learning rows.
     share = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
