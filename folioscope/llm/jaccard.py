@@ -5,13 +5,14 @@
    that share to reach the threshold, so all other documents are settled (no pair is formed).
 2. Documents with the same shingle set are one node from here on.
 3. Nodes that share a shingle of their prefix (their rarest shingles, one more than a linked set
-   may lack) are compared: first with the leader of that inverted list only. A second pass takes the
-   pairs whose members are still in different components and whose distances to a common leader
-   differ by no more than the threshold allows (the Jaccard distance is a metric), so a group of
-   near copies is never expanded into all pairs.
-4. Comparing runs T-occurrence: per query, the short inverted lists of its candidates are merged
-   with a heap, the long ones are probed by binary search, and candidates reaching the required
-   overlap stay.
+   may lack) can link. Every inverted list of prefixes names its smallest node as its head, and the
+   nodes of all lists with one head form a ball; two nodes of a list are in its head's ball
+   together. A ball is compared in blocks of bounded size, so no pair leaves a task: what does is
+   at most one link per node, enough for the components.
+4. Comparing runs T-occurrence search: the prefix lists of the block give a query's candidates,
+   those already in its component are left out, the short inverted lists of the others are merged
+   with a heap, the long ones are probed by binary search, and those reaching the required overlap
+   link.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from folioscope.session import scratch_path
 
 # Shingles that one task of the list counting sorts at a time.
 RANGE_SHINGLES = 2_000_000
-# Candidates searched together for one query.
-GROUP = 128
+# Nodes of one block of a ball.
+BLOCK = 256
 # DivideSkip's weight of a heap step against a probe.
 MU = 0.0085
 
@@ -160,7 +161,9 @@ def stored_sets(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """``shingle, node, n``: the rarest shingles of each set, one more than may be missing.
+    """``node, n, own, prefix``: the rarest shingles of each set, one more than may be missing.
+
+    ``own`` counts the shingles that no other node holds; they are part of the prefix but not listed.
 
     The order is by the exact number of nodes that hold a shingle. Shingles of one node alone come
     first and can't lead to another node, so they only use up places; a node with enough of them is
@@ -210,24 +213,21 @@ def prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, found = [], [], []
+            out = []
             for node, n, hashes in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 hashes = np.frombuffer(hashes, "<i8")
-                places = n - -(-percent * n // 100) + 1 - (n - len(hashes))
+                own = n - len(hashes)
+                places = n - -(-percent * n // 100) + 1 - own
                 if places > 0:
-                    nodes.append(node)
-                    sizes.append(n)
-                    found.append(hashes[:places])
-            if nodes:
-                which = np.repeat(np.arange(len(nodes)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(found), pa.int64()), pa.array(nodes, pa.string()).take(pa.array(which)),
-                    pa.array(sizes, pa.int64()).take(pa.array(which))], names=["shingle", "node", "n"])
+                    out.append((node, n, own, hashes[:places]))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["node", "n", "own", "prefix"])
 
     packed = sets.select("node", "shingles", "a", "b").mapInArrow(scatter, "part int, nodes binary, which binary, hashes binary")
     replies = packed.groupBy("part").applyInArrow(count, "to int, a binary, b binary, hashes binary, times binary")
     gathered = replies.groupBy("to").applyInArrow(gather, "a long, b long, hashes binary").select(node_id("a", "b").alias("node"), "hashes")
-    return gathered.join(sets.select("node", "n"), "node").select("node", "n", "hashes").mapInArrow(take, "shingle long, node string, n long")
+    return gathered.join(sets.select("node", "n"), "node").select("node", "n", "hashes").mapInArrow(take, "node string, n long, own long, prefix array<bigint>")
 
 
 def occurrence_search(query: np.ndarray, others: list[np.ndarray], percent: int) -> tuple[list[bool], list[int]]:
@@ -258,78 +258,83 @@ def occurrence_search(query: np.ndarray, others: list[np.ndarray], percent: int)
     return linked, overlap
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``x, y, linked, far`` of the pairs: whether they link, and their Jaccard distance.
+def block_links(nodes: list[tuple[int, int, np.ndarray, np.ndarray]], percent: int, within: bool) -> list[tuple[int, int]]:
+    """Links that connect what is linked among ``nodes`` (side, own shingles, prefix, set); a spanning forest of them.
 
-    A query with many candidates is searched in groups of bounded size on different tasks.
+    With ``within`` all nodes are one block; else only nodes of different sides are compared.
     """
-    sizes = pairs.groupBy("x").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    salted = pairs.join(sizes, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("groups")).alias("salt"))
-    queries = salted.select("x", "salt").distinct().select("x", "salt", F.col("x").alias("node"), F.lit(0).alias("role"))
-    asked = queries.union(salted.select("x", "salt", F.col("y").alias("node"), F.lit(1).alias("role")))
-    gathered = asked.join(sets.select("node", "shingles"), "node").select("x", "salt", "role", "node", "shingles")
+    parent = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    lists: dict[int, list[int]] = {}
+    for i, (_, _, prefix, _) in enumerate(nodes):
+        for token in prefix.tolist():
+            lists.setdefault(token, []).append(i)
+    links = []
+    for i, (side, own, prefix, shingles) in enumerate(nodes):
+        if not within and side:
+            continue
+        near = {j for token in prefix.tolist() for j in lists[token] if j > i or not within and nodes[j][0]}
+        here, n, chosen = root(i), len(shingles), []
+        for j in sorted(near):
+            m = len(nodes[j][3])
+            # Shingles that no other node holds can't be shared.
+            most = min(n - own, m - nodes[j][1])
+            if (within or nodes[j][0] != side) and 100 * most >= percent * (n + m - most) and root(j) != here:
+                chosen.append(j)
+        if chosen:
+            linked, _ = occurrence_search(shingles, [nodes[j][3] for j in chosen], percent)
+            for j, found in zip(chosen, linked):
+                if found and root(j) != root(i):
+                    parent[root(j)] = root(i)
+                    links.append((i, j))
+    return links
+
+
+def linked_nodes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
+    """``node, label`` of all nodes that link with another one."""
+    spark = sets.sparkSession
+    path = scratch_path(spark, "prefixes")
+    prefixes(sets, percent, ranges).write.parquet(path)
+    known = spark.read.parquet(path)
+    posted = known.select("node", F.explode("prefix").alias("shingle"))
+    heads = posted.groupBy("shingle").agg(F.count("*").alias("size"), F.min("node").alias("ball")).where("size > 1").select("shingle", "ball")
+    members = posted.join(heads, "shingle").select("ball", "node").distinct()
+    path = scratch_path(spark, "balls")
+    members.write.parquet(path)
+    members = spark.read.parquet(path)
+    blocks = members.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = members.join(blocks, "ball").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = spread.select(
+        "ball", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
+    gathered = asked.join(known.join(sets.select("node", "shingles"), "node").select("node", "own", "prefix", "shingles"), "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, query, names, others = None, None, [], []
+        held, names, nodes = None, [], []
 
         def answer() -> pa.RecordBatch:
-            linked, shared = occurrence_search(query, others, percent)
-            far = [1 - s / (len(query) + len(o) - s) for s, o in zip(shared, others)]
-            return pa.RecordBatch.from_arrays([
-                pa.array([held[0]] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(linked, pa.bool_()),
-                pa.array(far, pa.float64())], names=["x", "y", "linked", "far"])
+            links = block_links(nodes, percent, held[1] == held[2])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i, _ in links], pa.string()), pa.array([names[j] for _, j in links], pa.string())], names=["x", "y"])
 
         for batch in batches:
-            for x, salt, role, node, value in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if (x, salt) != held:
-                    if names:
+            for ball, i, j, side, node, only, prefix, value in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if (ball, i, j) != held:
+                    if len(names) > 1:
                         yield answer()
-                    held, names, others = (x, salt), [], []
-                own = np.frombuffer(value, "<u8")
-                if role == 0:
-                    query = own
-                else:
-                    names.append(node)
-                    others.append(own)
-        if names:
+                    held, names, nodes = (ball, i, j), [], []
+                names.append(node)
+                nodes.append((side, only, np.asarray(prefix, np.int64), np.frombuffer(value, "<u8")))
+        if len(names) > 1:
             yield answer()
 
-    ordered = gathered.repartition("x", "salt").sortWithinPartitions("x", "salt", "role")
-    return ordered.mapInArrow(search, "x string, y string, linked boolean, far double")
-
-
-def linked_nodes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """``node, label`` of all nodes that link with another one."""
-    spark = sets.sparkSession
-
-    def kept(df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(spark, label)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    posted = kept(prefixes(sets, percent, ranges), "prefixes")
-    heads = posted.groupBy("shingle").agg(F.count("*").alias("size"), F.min_by("n", "node").alias("m"), F.min("node").alias("head")).where("size > 1")
-    posted = kept(posted.join(heads, "shingle").select("shingle", "node", "n", "head", "m"), "postings")
-    pairs = posted.where(F.col("node") != F.col("head")).where(alike).select(F.col("head").alias("x"), F.col("node").alias("y")).distinct()
-    first = kept(overlaps(kept(pairs, "pairs"), sets, percent), "overlaps")
-    links = first.where("linked").select("x", "y")
-    labels = components(links)
-    # Lists whose members are not all in one component yet.
-    mates = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_lists = mates.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
-    known = first.select(F.col("x").alias("head"), F.col("y").alias("node"), "far")
-    rest = mates.where(F.col("node") != F.col("head")).join(open_lists, "shingle").join(known, ["head", "node"], "left")
-    left = rest.select("shingle", "node", "n", "label", "far")
-    other = left.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label", "far")])
-    # By the triangle inequality at the head; without a distance (other sizes) nothing is ruled out.
-    near = F.coalesce(F.abs(F.col("far") - F.col("o_far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    crossed = left.join(other, "shingle").where(
-        (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & near & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")))
-    more = kept(crossed.select(F.col("node").alias("x"), F.col("o_node").alias("y")).distinct(), "pairs")
-    second = kept(overlaps(more, sets, percent).where("linked").select("x", "y"), "links")
-    # Components of the components: each link joins two labels of the first round.
-    return components(links.union(second)) if not second.isEmpty() else labels
+    ordered = gathered.select("ball", "i", "j", "side", "node", "own", "prefix", "shingles").repartition("ball", "i", "j").sortWithinPartitions("ball", "i", "j", "node")
+    return components(ordered.mapInArrow(search, "x string, y string"))
 
 
 def similarity_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
