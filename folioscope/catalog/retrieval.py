@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.catalog.base import over, query, rounded, table, tx
 from folioscope.operators import retrieval
+from folioscope.plans.joins import attach_lookup
 from folioscope.plans.neighbours import cosine
 from folioscope.session import scratch_path
 
@@ -34,11 +35,18 @@ def found(spark, d, where=None):
 
 
 def with_documents(spark, d):
-    """Search results with the text and metadata of the document of the same number."""
+    """Search results with the text and metadata of the document of the same number.
+
+    The scan of the documents is cut to the ids found before any text is moved.
+    """
+    path = scratch_path(spark, "found")
+    found(spark, d).write.parquet(path)
+    hits = spark.read.parquet(path)
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("vec_id"), F.col("text").alias("document"), F.to_json(F.struct("lang", "source")).alias("metadata")
     )
-    return found(spark, d).join(docs, "vec_id", "left")
+    docs = attach_lookup(docs, hits.select("vec_id").distinct(), ["vec_id"], "left_semi")
+    return hits.join(docs, "vec_id", "left")
 
 
 DOCS = """
@@ -55,7 +63,7 @@ def searched(body, **more):
 SELECT sha256(text) AS id, count(*) AS copias FROM documents GROUP BY 1""")
 def r1(spark, d):
     docs = table(spark, d, "documents").select(F.col("text").alias("document"))
-    collection = retrieval.add_documents(retrieval.cleared(retrieval.with_document_ids(docs)), docs)
+    collection = retrieval.add_documents(retrieval.empty_like(retrieval.with_document_ids(docs)), docs)
     return collection.groupBy("id").agg(F.count("*").alias("copias"))
 
 

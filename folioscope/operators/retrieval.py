@@ -66,8 +66,11 @@ def count_documents(collection: DataFrame) -> DataFrame:
 
 def clear(spark: SparkSession, path: str) -> None:
     """Empty a stored collection; its columns stay."""
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    empty_like(spark.read.parquet(path)).write.mode("overwrite").parquet(path)
+
+
+def empty_like(collection: DataFrame) -> DataFrame:
+    return collection.sparkSession.createDataFrame([], collection.schema)
 
 
 def context_blocks(found: DataFrame, query_key: str = "query_id") -> DataFrame:

@@ -72,8 +72,10 @@ def attach_group_stats(
     packed = stats.select(*keys, F.struct(*payload).alias("__stats"), F.col(size).alias("__size"))
     hot = prefixed(packed.where(F.col("__size") >= hot_rows), keys, "__h_").withColumnRenamed("__stats", "__hot")
     hot = hot.drop("__size")
-    on_hot = reduce(lambda a, b: a & b, [rows[k] == hot["__h_" + k] for k in keys])
-    tagged = rows.join(F.broadcast(hot), on_hot, "left").drop(*["__h_" + k for k in keys])
+    # Where even the hot groups are too many to be sent to every task, they are joined by a shuffle.
+    kept, small = is_small(hot)
+    on_hot = reduce(lambda a, b: a & b, [rows[k] == kept["__h_" + k] for k in keys])
+    tagged = rows.join(F.broadcast(kept) if small else kept, on_hot, "left").drop(*["__h_" + k for k in keys])
     # NULL keys match nothing either; they are spread as well. The partition id separates exact
     # copies of one row and is the same when a lost task is run again.
     loose = F.col("__hot").isNotNull() | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
