@@ -57,6 +57,10 @@ def clean_and_load(stream: DataFrame, clean: Callable[[DataFrame], DataFrame], t
     return drain(stream, state, write)
 
 
+# Parts that stored keys are laid out in.
+KEY_PARTS = 64
+
+
 def load_counters(spark: SparkSession, target: str) -> DataFrame:
     rows = spark.read.parquet(f"{target}/contadores")
     return rows.agg(
@@ -68,16 +72,21 @@ def load_counters(spark: SparkSession, target: str) -> DataFrame:
 
 
 def load_once_per_key(stream: DataFrame, keys: list[str], order: list[str], target: str, state: str) -> StreamingQuery:
-    """Store the first row of every key; keys stored by an earlier batch are skipped."""
+    """Store the first row of every key; keys stored by an earlier batch are skipped.
+
+    Stored rows are laid out by a hash of their key, and a batch reads only the parts it meets.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = first_per_key(batch, keys, order)
+        fresh = first_per_key(batch, keys, order).withColumn("parte", F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)).cast("int"))
         if number > 0:
-            stored = spark.read.schema(T.StructType(batch.schema.fields + [T.StructField("lote", T.LongType())])).parquet(target)
-            earlier = stored.where(F.col("lote") < number).select(*keys)
+            met = [r.parte for r in fresh.select("parte").distinct().collect()]
+            layout = [T.StructField("lote", T.LongType()), T.StructField("parte", T.IntegerType())]
+            stored = spark.read.schema(T.StructType(batch.schema.fields + layout)).parquet(target)
+            earlier = stored.where((F.col("lote") < number) & F.col("parte").isin(met)).select(*keys)
             fresh = fresh.join(earlier, keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(batch_folder(target, number))
+        fresh.write.mode("overwrite").partitionBy("parte").parquet(batch_folder(target, number))
 
     return drain(stream, state, write)
 
@@ -99,6 +108,25 @@ def windowed_activity(stream: DataFrame, key: str, time: str, window: str, delay
     )
 
 
+def load_window_counts(stream: DataFrame, key: str, time: str, window: str, target: str, state: str) -> StreamingQuery:
+    """Store each batch's rows per key and time window; the counts of all batches add up.
+
+    No row is too late: a window may receive counts from any batch, and nothing is kept between them.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n"))
+        counts.select(F.col("w.start").alias("inicio"), F.col("w.end").alias("fin"), key, "n").write.mode("overwrite").parquet(batch_folder(target, number))
+
+    return drain(stream, state, write)
+
+
+def total_counts(spark: SparkSession, target: str, key: str, limit: int) -> DataFrame:
+    """Rows per key and window over all stored batches, marked above a limit."""
+    grouped = spark.read.parquet(target).groupBy("inicio", "fin", key).agg(F.sum("n").alias("n"))
+    return grouped.withColumn("actividad_excesiva", F.col("n") > limit)
+
+
 def store_updates(counts: DataFrame, target: str, state: str) -> StreamingQuery:
     """Write changed counts of every batch."""
 
