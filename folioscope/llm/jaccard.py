@@ -34,7 +34,7 @@ from folioscope.session import scratch_path
 # Shingles that one task of the list counting sorts at a time.
 RANGE_SHINGLES = 2_000_000
 # Nodes of one block of a ball.
-BLOCK = 256
+BLOCK = 1024
 # DivideSkip's weight of a heap step against a probe.
 MU = 0.0085
 
