@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 # Odd multipliers of 64-bit mixing; any odd numbers do.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -64,21 +64,21 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACE
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * CHUNK_BYTES)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for at least ``n`` places."""
-    size = CHUNK_BYTES + 1
-    while size < n:
-        size *= 2
-    up, down = _powers(size)
+    """Powers of the base and of its inverse modulo 2**64; only those for a usual chunk are kept."""
+    up, down = _usual_powers() if n <= 2 * CHUNK_BYTES else _powers(n)
     return up[:n], down[:n]
 
 

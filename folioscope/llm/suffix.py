@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.buffers import addressed, chunks, powers, prefix_hash, span_hashes, split_sorted
+from folioscope.llm.buffers import addressed, chunks, prefix_hash, span_hashes, split_sorted
 from folioscope.session import scratch_path
 
 # Samples that one task sorts at a time, and bytes of slices likewise.
 RANGE_SAMPLES = 2_000_000
-BUCKET_BYTES, PORTION_BYTES = 4 << 20, 32 << 20
+BUCKET_BYTES, PORTION_BYTES = 1 << 20, 8 << 20
 ANCHOR_BYTES = 32
 PLACE_BITS = np.uint64(28)
 
@@ -230,7 +230,6 @@ class Bucket:
         which = np.repeat(np.arange(len(rows)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         begin = (np.cumsum(sizes) - sizes)[which] + inside
-        powers(len(data) + 1)
         names = span_hashes(prefix_hash(data), begin, begin + length)
         times = np.asarray([len(r[2]) // 4 for r in rows])
         # Every occurrence of every slice, window by window.

@@ -29,7 +29,7 @@ WORD_SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WH
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Text that is tokenized together.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 MARKS = frozenset(".,!?:;")
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -47,7 +47,7 @@ def byte_symbols() -> dict[int, str]:
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, entries: int = 300_000):
+    def __init__(self, path: str, entries: int = 150_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.entries = self.tokenizer.model, entries
@@ -164,6 +164,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
             for key, ids in zip(rows.column(0).to_pylist(), own.encode_all(rows.column(1).to_pylist())):
                 yield key, ids + end
             at = stop
+    # A worker lives on between tasks; it keeps the newer half only.
+    own.older_units, own.older_pieces = {}, {}
 
 
 def encoder(path: str) -> Encoder:
