@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.buffers import LOWER, addressed, chunks, mixed, prefix_hash, span_hashes, window_hashes, within_rows, word_spans
 from folioscope.llm.graph import components
+from folioscope.plans.joins import attach_lookup
 from folioscope.session import scratch_path
 
 # Shingles that one task of the list counting sorts at a time.
@@ -153,7 +154,8 @@ def stored_sets(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
                 names=["a", "b", "wanted", "n", "shingles"])
 
     path = scratch_path(rows.sparkSession, "shingle-sets")
-    texts = rows.select("key", "text").join(chosen.select("key", F.col("node").alias("wanted")), "key").select("key", "wanted", "text")
+    # Counted first: few nodes go to the texts, many are joined by a shuffle.
+    texts = attach_lookup(rows.select("key", "text"), chosen.select("key", F.col("node").alias("wanted")), ["key"], "inner").select("key", "wanted", "text")
     found = texts.mapInArrow(shingle, "a long, b long, wanted string, n long, shingles binary").withColumn("node", node_id("a", "b"))
     # Rows repeated with id and text give the same node again.
     found.where("node = wanted").select("node", "n", "shingles", "a", "b").dropDuplicates(["node"]).write.option("compression", "zstd").parquet(path)
