@@ -233,15 +233,17 @@ def k6b(spark, d):
 MODEL = ["valor_acto", "year_radica", "count_a", "count_de", "area_terreno", "area_construida", "orip"]
 
 
-# Cells that the density search of the registered queries looks into; tests measure the recall.
-PROBES = 4
-
-
 def model_rows(spark, d):
     rows = cl(spark, d)
     return rows.select("pk", *features.select_numbers(rows, MODEL))
 
 
+def act_rows(spark, d):
+    """All 23 act features, encoded categories included."""
+    built = features.encode_categories(features.act_features(acts(spark, d)), features.ACT_CATEGORIES)
+    return built.select("pk", *features.select_numbers(built, features.ACT_FEATURES))
+
+
 @query("m7_forest_nodes")
 def m7(spark, d):
     nodes = outliers.fit_forest(model_rows(spark, d), "pk", MODEL)
@@ -280,8 +282,8 @@ def m9(spark, d):
 def m9b(spark, d):
     rows = model_rows(spark, d)
     scaled = scoring.apply_scaler(rows, scoring.fit_scaler(rows, MODEL)).select("pk", F.array(*MODEL).alias("vector"))
-    fitted = outliers.fit_density(scaled, "pk", "vector", 20, PROBES)
-    return outliers.density_factor(scaled, scaled, fitted, "pk", "vector", 20, PROBES)
+    fitted = outliers.fit_density(scaled, "pk", "vector", 20)
+    return outliers.density_factor(scaled, scaled, fitted, "pk", "vector", 20)
 
 
 @query("m20_reconstruction_error")
@@ -295,7 +297,7 @@ def m20(spark, d):
 
 @query("m21_table_scored")
 def m21(spark, d):
-    scores = outliers.score_table(model_rows(spark, d), "pk", MODEL, probes=PROBES)
+    scores = outliers.score_table(act_rows(spark, d), "pk", features.ACT_FEATURES)
     target = cl(spark, d).select(
         "pk", F.lit(None).cast("double").alias("anomaly_score"), F.lit(None).cast("boolean").alias("is_anomaly"),
         F.lit(None).cast("string").alias("risk_classification"),
