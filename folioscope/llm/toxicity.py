@@ -30,8 +30,8 @@ BEGINNINGS = (4, 5, 6)
 LANE = 128
 # Sample for fitting: documents per label, and bytes of the longest one.
 PER_CLASS, MAX_BYTES = 1000, 1 << 14
-# Documents of each label among them whose tokens fit the field; all of them decide which tokens are toxic.
-FIELD_DOCS = 250
+# Documents whose messages are held at a time while fitting.
+BATCH_DOCS = 200
 SPAN_MARGINAL = 0.5
 REJECT = 0.7
 
@@ -136,7 +136,10 @@ def token_labels(rows: np.ndarray, numbers: np.ndarray, toxic: np.ndarray) -> np
 
 
 def fit(rows: list[tuple[str, int]], counts: dict[int, int], rounds: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> Model:
-    """The field by gradient steps of adaptive size on the labelled tokens, then the logistic weights."""
+    """The field by gradient steps of adaptive size on the labelled tokens of all documents, then the logistic weights.
+
+    A step adds up the gradients of batches of ``BATCH_DOCS`` documents, so memory doesn't grow with their messages.
+    """
     rows = sorted(dict(rows).items())
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)), np.array([0.0, -2.0]), np.array([-4.0, 1.0, 0.0, 0.0]))
     toxic = np.asarray([y for _, y in rows], bool)
@@ -145,37 +148,30 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int], rounds: int = 40, r
     data, bounds = raw_bytes(pa.array([t for t, _ in rows], pa.string()))
     _, _, docs, numbers = token_features(data, bounds)
     labels = token_labels(docs, numbers, toxic)
-    nth = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic))
-    chosen = (nth <= FIELD_DOCS)[docs]
-    all_docs, all_numbers = docs, numbers
-    docs, numbers, labels = docs[chosen], numbers[chosen], labels[chosen]
-    # Feature numbers of the sample alone, numbered densely for the steps.
-    used, dense = np.unique(numbers.ravel(), return_inverse=True)
-    dense = dense.reshape(numbers.shape)
-    weights = np.zeros(len(used))
+    at = np.searchsorted(docs, np.arange(0, len(rows) + BATCH_DOCS, BATCH_DOCS))
+    batches = [(i, j) for i, j in zip(at[:-1], at[1:]) if i < j]
     opens = np.r_[True, docs[1:] != docs[:-1]]
     tag, last = labels.astype(int), np.r_[0, labels[:-1].astype(int)]
     seen_moves = np.bincount((last * 2 + tag)[~opens], minlength=4).reshape(2, 2)
     seen_start = np.bincount(tag[opens], minlength=2)
-    held = [np.zeros(len(used)), np.zeros((2, 2)), np.zeros(2)]
+    held = [np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)]
     for _ in range(rounds):
-        marginal, pairs, _ = forward_backward(weights[dense].sum(1), docs, model.moves, model.start)
-        off = labels - marginal
-        steps = [
-            np.bincount(dense.ravel(), np.repeat(off, dense.shape[1]), len(used)) - ridge * weights,
-            (seen_moves - pairs[~opens].sum(0)) - ridge * model.moves,
-            (seen_start - pairs[opens].sum((0, 1))) - ridge * model.start,
-        ]
+        steps = [-ridge * model.weights, seen_moves - ridge * model.moves, seen_start - ridge * model.start]
+        for i, j in batches:
+            part, first = numbers[i:j], opens[i:j]
+            marginal, pairs, _ = forward_backward(model.weights[part].sum(1), docs[i:j], model.moves, model.start)
+            steps[0] += np.bincount(part.ravel(), np.repeat(labels[i:j] - marginal, part.shape[1]), FEATURES)
+            steps[1] -= pairs[~first].sum(0)
+            steps[2] -= pairs[first].sum((0, 1))
         for memory, step in zip(held, steps):
             memory += step * step
         scaled = [rate * step / (np.sqrt(memory) + 1e-8) for memory, step in zip(held, steps)]
-        weights, model.moves, model.start = weights + scaled[0], model.moves + scaled[1], model.start + scaled[2]
-    model.weights[used] = weights
+        model.weights, model.moves, model.start = model.weights + scaled[0], model.moves + scaled[1], model.start + scaled[2]
     model.weights[0] = 0
-    marginal, at = np.zeros(len(all_docs)), np.searchsorted(all_docs, np.arange(0, len(rows) + 200, 200))
-    for i, j in zip(at[:-1], at[1:]):
-        marginal[i:j] = forward_backward(model.weights[all_numbers[i:j]].sum(1), all_docs[i:j], model.moves, model.start)[0]
-    x = outer_features(marginal, all_docs, len(rows))
+    marginal = np.zeros(len(docs))
+    for i, j in batches:
+        marginal[i:j] = forward_backward(model.weights[numbers[i:j]].sum(1), docs[i:j], model.moves, model.start)[0]
+    x = outer_features(marginal, docs, len(rows))
     # Each label weighs as it does among all learning rows.
     share = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum())
     share = share / share.mean()
