@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of up to 2048 tokens, each a power of two long and from one document."""
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), longest=2048, end_id=1)
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), longest=2048, end_id=1, added=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -115,7 +115,7 @@ def _table(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
     return decode_table(np.frombuffer(lengths, np.uint8))
 
 
-def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text: str) -> DataFrame:
+def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text: str, added: bool) -> DataFrame:
     """Blocks of whole documents in ascending ``doc_id`` order, written once below the shared folder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text:
             names = [c.split()[0] for c in TOKENS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
-        for key, ids in encoded(batches, vocabulary, end_id):
+        for key, ids in encoded(batches, vocabulary, end_id, added):
             keys.append(key)
             sizes.append(len(ids) // 4)
             held.append(ids)
@@ -163,16 +163,17 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def encode_corpus(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
+def encode_corpus(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> None:
     """Tokenize all documents, append ``end_id`` to each and write the file format to ``folder``.
 
+    With ``added`` strings of special tokens become these tokens, else they are ordinary text.
     Null text counts as empty and is the end id alone. Documents lie in ascending ``doc_id`` order,
     a null id first; repeated ids are kept, ordered by a hash of their text. An empty table writes
     empty ``codes`` and ``blocks``. Other columns are ignored. The driver holds the counts of one
     vocabulary and nothing that grows with the documents.
     """
     spark = docs.sparkSession
-    tokens = _tokenized(docs, vocabulary, end_id, doc_id, text)
+    tokens = _tokenized(docs, vocabulary, end_id, doc_id, text, added)
     found = count_ids(tokens).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)

@@ -31,11 +31,12 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * full + digits
 
 
-def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, ids_crc32, doc_tokens, bucket, sequence_id, offset``.
 
     ``longest`` is a power of two. ``bucket`` is the base-2 logarithm of the length; sequence
-    numbers have no gaps and ascend bucket by bucket. Null text counts as empty and gives the end
+    numbers have no gaps and ascend bucket by bucket. With ``added`` strings of special tokens become
+    these tokens, else they are ordinary text. Null text counts as empty and gives the end
     id alone; a null ``doc_id`` stays null; repeated rows are packed each for itself; an empty table
     gives no rows; other columns are ignored. A text of any length is one document. Pieces are
     written once to the shared folder, so numbers stay the same when a lost task runs again.
@@ -52,7 +53,7 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1,
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-        for key, ids in encoded(batches, vocabulary, end_id):
+        for key, ids in encoded(batches, vocabulary, end_id, added):
             total, start = len(ids) // 4, 0
             for n in piece_lengths(total, longest):
                 piece, bucket = ids[4 * start: 4 * (start + n)], n.bit_length() - 1

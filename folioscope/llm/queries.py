@@ -46,13 +46,13 @@ def op1(spark, folder):
 @query("op2_huffman_token_ids")
 def op2(spark, folder):
     files = scratch_path(spark, "huffman")
-    huffman.encode_corpus(table(spark, folder, "documents"), files, vocabulary("byte_bpe_50k.json"), end_id=0)
+    huffman.encode_corpus(table(spark, folder, "documents"), files, vocabulary("byte_bpe_50k.json"), end_id=0, added=True)
     return huffman.decode_corpus(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query("op3_binary_packing")
 def op3(spark, folder):
-    pieces = packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), longest=2048, end_id=1)
+    pieces = packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), longest=2048, end_id=1, added=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -2,8 +2,8 @@
 
 The tokenizer splits a text before it merges, and neither published scheme lets a piece reach over
 a single space. A text is therefore cut at single spaces, each distinct unit is tokenized once and
-its ids are kept in a bounded cache. Units beyond Latin-1, and tokenizers with any other scheme, go
-through the whole tokenizer.
+its ids are kept in a bounded cache. Units beyond Latin-1, texts with an added token's string, and
+tokenizers with any other scheme, go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -45,14 +45,22 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, entries: int = 150_000):
+    With ``added`` the string of a special token becomes its id, as the tokenizer does when loaded;
+    without it such strings are ordinary text.
+    """
+
+    def __init__(self, path: str, entries: int = 150_000, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.model, self.entries = self.tokenizer.model, entries
         self.symbols = byte_symbols()
-        self.scheme = self._scheme(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        tokens = [t for t in spec.get("added_tokens") or [] if added or not t["special"]]
+        self.added = [t["content"] for t in tokens]
+        # Strings that are found in the normalized text can't be looked for in the text itself.
+        self.scheme = None if any(t["normalized"] for t in tokens) else self._scheme(spec)
         # Ids of units and of the pieces they split into; the older half is kept until the newer is full.
         self.units: dict[str, bytes] = {}
         self.older_units: dict[str, bytes] = {}
@@ -118,6 +126,10 @@ class Encoder:
         """Ids of each text. A batch looks every distinct unit up once, in the cache or the vocabulary."""
         if self.scheme is None:
             return [self.whole(t) if t else b"" for t in texts]
+        apart = {i: self.whole(t) for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        if apart:
+            others = iter(self.encode_all([t for i, t in enumerate(texts) if i not in apart]))
+            return [apart[i] if i in apart else next(others) for i in range(len(texts))]
         # Nothing here forms cycles; the collector would only walk the lists of units.
         collected = gc.isenabled()
         gc.disable()
@@ -149,12 +161,12 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, added: bool = False) -> Iterator[tuple[int | None, bytes]]:
     """Id (first column) and token ids with the end id of every row (text in the second column)."""
-    own, end = encoder(path), array("I", [end_id]).tobytes()
+    own, end = encoder(path, added), array("I", [end_id]).tobytes()
     for batch in batches:
         sizes = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)])
         at = 0
@@ -168,8 +180,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     own.older_units, own.older_pieces = {}, {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder per worker process, vocabulary and reading of added tokens, kept between tasks."""
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added=added)
+    return _ENCODERS[path, added]

@@ -1,9 +1,14 @@
 """Nothing of the job is left out: whole samples, tokens, pages, passages and links."""
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
 
 from folioscope.llm import toxicity
 from folioscope.llm.buffers import raw_bytes
+from folioscope.llm.tokens import Encoder
 
 
 def test_field_is_fitted_on_every_document():
@@ -14,3 +19,12 @@ def test_field_is_fitted_on_every_document():
     numbers = toxicity.token_features(*raw_bytes(pa.array(["vile", "rotten", "plain"])))[3]
     vile, rotten, plain = model.weights[numbers].sum(1)
     assert vile > 2 and rotten > 2 and plain < 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_loaded(name):
+    path = public_tokenizers.path(name)
+    plain, own = Tokenizer.from_file(path), Encoder(path, added=True)
+    texts = ["a <|endoftext|> b", None, "x<|startoftext|><|endoftext|>", "none of  them", "", "<|endoftext|>", "日本 <|endoftext|>é", "<|ENDOFTEXT|> y"]
+    expected = [np.asarray(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode_all(texts) == expected
