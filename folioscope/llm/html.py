@@ -5,7 +5,9 @@ class) on the way from the root: per place in the merged tree, how pages arrange
 and what text they have there. Both give an entropy over the pages of the host, 0 where all pages
 agree and 1 where all differ, and a branch's importance combines them from the leaves up. Branches
 of low importance on a host with enough pages are presentation, and are cut from each of its pages.
-Elements that hold menus, forms, scripts and the like by their tag or class are cut on every host.
+Pages count once per host however often they are repeated, and long running text that is not common
+on the host stays where its branch is cut. Elements that hold menus, forms, scripts and the like by
+their tag or class are cut on every host.
 """
 
 from __future__ import annotations
@@ -20,9 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.plans.joins import attach_lookup
+from folioscope.session import scratch_path
 
 # Weight that a level of the tree keeps against the ones below it, and the limit under which a branch goes.
 DECAY, LIMIT = 0.9, 0.3
+# The limit for a branch with a name of noise that may as well be part of the article.
+HINT_LIMIT = 0.6
+# Characters of running text that stay unless they are common: on a share of the pages that show the place.
+LONG, COMMON = 120, 0.05
 # Pages that must show a branch before their agreement counts.
 MIN_PAGES = 8
 
@@ -50,11 +57,12 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Node:
-    __slots__ = ("tag", "style", "parent", "items", "noise", "path")
+    __slots__ = ("tag", "style", "parent", "items", "noise", "hint", "inside", "path")
 
-    def __init__(self, tag: str, style: str, parent: "Node | None", noise: bool):
-        self.tag, self.style, self.parent, self.noise, self.items = tag, style, parent, noise, []
-        self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else ''}>{style}") >> 1
+    def __init__(self, tag: str, style: str, parent: "Node | None", noise: bool, hint: bool = False):
+        self.tag, self.style, self.parent, self.noise, self.hint, self.items = tag, style, parent, noise, hint, []
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else ''}>{style}{'?' * hint}") >> 1
 
 
 def opened(tag: str, attributes: str, parent: Node) -> Node:
@@ -130,8 +138,31 @@ def main_nodes(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(nodes: list[Node], removed: frozenset[int]) -> list[str]:
-    """Texts of the blocks in page order, without noise and removed branches."""
+def place_texts(node: Node) -> dict[int, str]:
+    """Own text of every place of a branch outside noise, as the style tree compares it."""
+    texts: dict[int, list[str]] = {}
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if node.noise:
+            continue
+        texts.setdefault(node.path, []).extend(x.strip() for x in node.items if isinstance(x, str))
+        stack.extend(x for x in node.items if isinstance(x, Node))
+    return {path: "".join(parts) for path, parts in texts.items()}
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1 if text else 0
+
+
+def blocks(nodes: list[Node], removed: frozenset[int], common: frozenset[int] = frozenset(), root: Node | None = None) -> list[str]:
+    """Texts of the blocks in page order, without noise and removed branches.
+
+    Of a removed branch the places stay whose text on the page ``root`` is long and not ``common`` on its host.
+    """
+    stay: set[int] = set()
+    if removed and root is not None:
+        stay = {path for path, text in place_texts(root).items() if len(text) >= LONG and text_hash(text) not in common}
     out, held = [], []
 
     def close() -> None:
@@ -141,6 +172,9 @@ def blocks(nodes: list[Node], removed: frozenset[int]) -> list[str]:
             if text:
                 out.append(text)
 
+    def kept(node: Node) -> bool:
+        return not node.noise and (node.path in stay or any(kept(x) for x in node.items if isinstance(x, Node)))
+
     stack = list(reversed(nodes))
     while stack:
         item = stack.pop()
@@ -148,7 +182,7 @@ def blocks(nodes: list[Node], removed: frozenset[int]) -> list[str]:
             close()
         elif isinstance(item, str):
             held.append(item)
-        elif item.noise or item.path in removed:
+        elif item.noise or item.path in removed and not (stay and kept(item)):
             continue
         elif item.tag == "br":
             held.append("\n")
@@ -161,25 +195,28 @@ def blocks(nodes: list[Node], removed: frozenset[int]) -> list[str]:
     return out
 
 
-def observations(root: Node) -> Iterator[tuple[int, int, int, int, int]]:
-    """Per place of the page outside noise: path, parent's path, depth, hashes of the styles and of the text below."""
+def observations(root: Node) -> Iterator[tuple[int, int, int, bool, int, int]]:
+    """Per place of the page outside noise: path, parent's path, depth, whether its name hints at noise, hashes of the styles and of the text below."""
     styles, texts, about = {}, {}, {}
     stack = [(root, 0)]
     while stack:
         node, depth = stack.pop()
         if node.noise:
             continue
-        about[node.path] = node.parent.path if node.parent else 0, depth
+        about[node.path] = node.parent.path if node.parent else 0, depth, node.hint
         styles.setdefault(node.path, []).append("|".join(x.style for x in node.items if isinstance(x, Node)))
         texts.setdefault(node.path, []).extend(x.strip() for x in node.items if isinstance(x, str))
         stack.extend((x, depth + 1) for x in node.items if isinstance(x, Node))
-    for path, (parent, depth) in about.items():
+    for path, (parent, depth, hint) in about.items():
         text = "".join(texts[path])
-        yield path, parent, depth, xxhash.xxh3_64_intdigest("/".join(styles[path])) >> 1, xxhash.xxh3_64_intdigest(text) >> 1 if text else 0
+        yield path, parent, depth, hint, xxhash.xxh3_64_intdigest("/".join(styles[path])) >> 1, text_hash(text)
+
 
+def site_trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``host, path, parent, depth, hint, pages, shape, content``: the merged trees with both entropies.
 
-def site_trees(pages: DataFrame) -> DataFrame:
-    """``host, path, parent, depth, pages, shape, content``: the merged trees with both entropies.
+    And ``host, common``: hashes of the texts that are on a twentieth of the pages of a place of low entropy
+    (at most 20 each). Pages are counted once each, whatever the number of their copies on a host.
 
     Observations are counted before they meet, so a host of any number of pages is as many rows as
     its merged tree has places and variants.
@@ -189,22 +226,34 @@ def site_trees(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200)
-                out = [(host, *seen) for host, html in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()) for seen in observations(parse(html or ""))]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                names = ["host", "path", "parent", "depth", "styles", "text"]
+                out = [(host, share, *seen) for host, html, share in zip(*(rows.column(c).to_pylist() for c in range(3))) for seen in observations(parse(html or ""))]
+                kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+                names = ["host", "share", "path", "parent", "depth", "hint", "styles", "text"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    seen = pages.select("host", "html").mapInArrow(observe, "host string, path long, parent long, depth int, styles long, text long")
-    both = seen.select("host", "path", "parent", "depth", F.explode(F.array(
+    # Each of n copies counts as 1 / n.
+    hashed = pages.select("host", "html", F.xxhash64("html").alias("page"))
+    copies = hashed.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1")
+    shared = attach_lookup(hashed, copies, ["host", "page"]).select("host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    seen = shared.mapInArrow(observe, "host string, share double, path long, parent long, depth int, hint boolean, styles long, text long")
+    place = ["host", "path", "parent", "depth", "hint"]
+    both = seen.select(*place, "share", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("styles").alias("variant")), F.struct(F.lit(1).alias("kind"), F.col("text").alias("variant")))).alias("v"))
-    counted = both.groupBy("host", "path", "parent", "depth", F.col("v.kind").alias("kind"), F.col("v.variant").alias("variant")).agg(F.count("*").alias("n"))
+    # Sums of shares are whole but for rounding.
+    counts = both.groupBy(*place, F.col("v.kind").alias("kind"), F.col("v.variant").alias("variant")).agg(F.greatest(F.lit(1.0), F.round(F.sum("share"))).alias("n"))
+    path = scratch_path(pages.sparkSession, "variants")
+    counts.write.option("compression", "zstd").parquet(path)
+    counted = pages.sparkSession.read.schema(counts.schema).parquet(path)
     # Entropy to the base of the number of pages, from sums alone: log m - sum(n log n) / m.
-    sums = counted.groupBy("host", "path", "parent", "depth", "kind").agg(
+    sums = counted.groupBy(*place, "kind").agg(
         F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max((F.col("variant") != 0) | (F.col("kind") == 0)).alias("any"))
     entropy = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    return sums.groupBy("host", "path", "parent", "depth").agg(
+    trees = sums.groupBy(*place).agg(
         F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, entropy)).alias("shape"),
         F.max(F.when((F.col("kind") == 1) & F.col("any"), entropy)).alias("content"))
+    low = trees.where(F.col("content") < HINT_LIMIT).select("host", "path", "pages")
+    texts = counted.where("kind = 1 AND variant <> 0 AND n > 1").join(low, ["host", "path"]).where(F.col("n") >= COMMON * F.col("pages"))
+    return trees, texts.groupBy("host").agg(F.collect_set("variant").alias("common"))
 
 
 def low_branches(trees: DataFrame) -> DataFrame:
@@ -228,7 +277,7 @@ def low_branches(trees: DataFrame) -> DataFrame:
             importance[r["path"]] = value
             below.setdefault(r["parent"], []).append((value, r["pages"]))
         parents = {r["path"]: r["parent"] for r in rows}
-        low = {r["path"] for r in rows if importance[r["path"]] < LIMIT and r["pages"] >= MIN_PAGES and r["parent"]}
+        low = {r["path"] for r in rows if importance[r["path"]] < (HINT_LIMIT if r["hint"] else LIMIT) and r["pages"] >= MIN_PAGES and r["parent"]}
         top = [p for p in low if parents[p] not in low]
         host = rows[0]["host"]
         return pa.table({"host": pa.array([host], pa.string()), "removed": pa.array([top], pa.list_(pa.int64()))})
@@ -242,18 +291,23 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
 
     Inside a block white space becomes one space; blocks are joined by two line feeds in page order;
     character references are decoded. Null or empty html gives an empty text; a page whose url has
-    no host is judged by tags and classes together with its like; repeated rows count as pages each;
+    no host is judged by tags and classes together with its like; repeated pages count once among their like;
     an empty table gives no rows; other columns stay inside ``row``. Pages are read whole.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), HOST, 1)), F.lit(""))
     rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host.alias("host"), F.col(html).cast("string").alias("html"))
-    known = attach_lookup(rows, low_branches(site_trees(rows)), ["host"]).select("row", "html", "removed")
+    trees, common = site_trees(rows)
+    low = low_branches(trees).join(common, "host", "left")
+    known = attach_lookup(rows, low, ["host"]).select("row", "html", "removed", "common")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = ["\n\n".join(blocks(main_nodes(parse(page or "")), frozenset(removed or ()))) for page, removed in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                texts = []
+                for page, removed, common in zip(*(part.column(c).to_pylist() for c in (1, 2, 3))):
+                    root = parse(page or "")
+                    texts.append("\n\n".join(blocks(main_nodes(root), frozenset(removed or ()), frozenset(common or ()), root)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 

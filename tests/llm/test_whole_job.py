@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from folioscope.llm import toxicity
+from folioscope.llm import html, toxicity
 from folioscope.llm.buffers import raw_bytes
 from folioscope.llm.tokens import Encoder
 
@@ -28,3 +28,20 @@ def test_added_tokens_as_loaded(name):
     texts = ["a <|endoftext|> b", None, "x<|startoftext|><|endoftext|>", "none of  them", "", "<|endoftext|>", "日本 <|endoftext|>é", "<|ENDOFTEXT|> y"]
     expected = [np.asarray(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert own.encode_all(texts) == expected
+
+
+def main_texts(spark, bodies):
+    rows = [(i, "https://one.example/x", body) for i, body in enumerate(bodies)]
+    found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return {r.row.page_id: r.text for r in found.collect()}
+
+
+def test_copies_do_not_cut_other_pages(spark):
+    """32 of 40 pages are copies, and then 32 nearly so."""
+    page = "<body><div class='box'>Same words here</div><article><p>%s</p></article><i>%s</i></body>"
+    own = [f"Story {i} of its own, " + f"told with words {i} " * 10 for i in range(9)]
+    for foot in ("", "%d"):
+        bodies = [page % (own[8], foot % i if foot else "") for i in range(32)] + [page % (own[i], "") for i in range(8)]
+        found = main_texts(spark, bodies)
+        assert [found[32 + i] for i in range(8)] == [" ".join(own[i].split()) for i in range(8)]
+        assert foot or found[0] == " ".join(own[8].split())
