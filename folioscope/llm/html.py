@@ -7,7 +7,8 @@ agree and 1 where all differ, and a branch's importance combines them from the l
 of low importance on a host with enough pages are presentation, and are cut from each of its pages.
 Pages count once per host however often they are repeated, and long running text that is not common
 on the host stays where its branch is cut. Elements that hold menus, forms, scripts and the like by
-their tag or class are cut on every host.
+their tag or class are cut on every host; inside an article, and for parts of an id, such a name only
+raises the limit under which the branch goes.
 """
 
 from __future__ import annotations
@@ -38,13 +39,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-HIDDEN = frozenset("script style noscript template head iframe object svg math canvas audio video map".split())
+HIDDEN = frozenset("script style noscript template head iframe object svg canvas audio video map".split())
 NOISE = frozenset("nav header footer aside form menu button select textarea input label dialog".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header "
     "masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related respond share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget widgets".split())
+# What readers add differs on every page, so a host can't confirm it.
+ADDED = frozenset("comment comments disqus respond".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 ENDS_P = BLOCKS - frozenset("html body caption tbody tfoot thead tr td th option title".split())
 SAME = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr", "td": "td th", "th": "td th", "option": "option", "p": "p"}
@@ -66,17 +69,24 @@ class Node:
 
 
 def opened(tag: str, attributes: str, parent: Node) -> Node:
-    name, role = "", ""
+    name, own, role = "", "", ""
     if attributes and "=" in attributes:
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key = key.lower()
             if key in ("class", "id"):
                 name += " " + (a or b or c)
+                own += " " + (a or b or c) if key == "class" else ""
             elif key == "role":
                 role = (a or b or c).strip().lower()
     words = {w for w in WORDS.split(name.lower()) if w} if name else set()
-    noise = tag in NOISE or tag in HIDDEN or role in NOISE_ROLES or bool(words & NOISE_NAMES)
-    return Node(tag, f"{tag}.{'.'.join(sorted(words))}", parent, noise)
+    tokens = set(own.lower().split())
+    if parent.inside:
+        named = tokens & ADDED
+    else:
+        named = {*WORDS.split(own.lower()), *name.lower().split()} & NOISE_NAMES
+    noise = tag in NOISE or tag in HIDDEN or role in NOISE_ROLES or bool(named)
+    hint = not noise and bool((tokens if parent.inside else words) & NOISE_NAMES)
+    return Node(tag, f"{tag}.{'.'.join(sorted(words))}", parent, noise, hint)
 
 
 def parse(html: str) -> Node:

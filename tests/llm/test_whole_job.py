@@ -45,3 +45,16 @@ def test_copies_do_not_cut_other_pages(spark):
         found = main_texts(spark, bodies)
         assert [found[32 + i] for i in range(8)] == [" ".join(own[i].split()) for i in range(8)]
         assert foot or found[0] == " ".join(own[8].split())
+
+
+def test_names_inside_an_article_are_a_hint():
+    page = """<div class="site-header">top</div><article><div class='article-header'><h1>Title</h1></div><h2 id='social-impact'>Impact</h2>
+    <section id='share-prices'><p>Prices</section><p id='notice-periods'>Periods <math><mi>x</mi></math> end<div class='comments'>reader</div></article>"""
+    assert html.blocks(html.main_nodes(html.parse(page)), frozenset()) == ["Title", "Impact", "Prices", "Periods x end"]
+    assert html.blocks(html.main_nodes(html.parse("<section id='share-prices'><p>Prices</section><div class='site-header'>top")), frozenset()) == ["Prices"]
+
+
+def test_the_style_tree_confirms_a_hint(spark):
+    page = "<article><p>Story %d</p><div class='share'>Send this %d</div></article>"
+    found = main_texts(spark, [page % (i, i % 2) for i in range(40)])
+    assert all(found[i] == f"Story {i}" for i in range(40))
