@@ -7,19 +7,17 @@
 3. Nodes that share a shingle of their prefix (their rarest shingles, one more than a linked set
    may lack) can link. Every inverted list of prefixes names its smallest node as its head, and the
    nodes of all lists with one head form a ball; two nodes of a list are in its head's ball
-   together. A ball is compared in blocks of bounded size, so no pair leaves a task: what does is
-   at most one link per node, enough for the components.
-4. Comparing runs T-occurrence search: the prefix lists of the block give a query's candidates,
-   those already in its component are left out, the short inverted lists of the others are merged
-   with a heap, the long ones are probed by binary search, and those reaching the required overlap
-   link.
+   together. A ball is compared in blocks of bounded size. Every link is found once: it counts in
+   the ball of the smallest shingle that both prefixes share. No pair leaves a task: what does is
+   the number of links of each node, and at most one link per node for the components.
+4. Comparing runs T-occurrence search over the inverted lists of a block's whole sets: a query's
+   short lists are merged by counting, the long ones are probed by binary search for the nodes
+   that can still reach the required overlap, and those reaching it link.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +32,10 @@ from folioscope.session import scratch_path
 
 # Shingles that one task of the list counting sorts at a time.
 RANGE_SHINGLES = 2_000_000
-# Nodes of one block of a ball.
-BLOCK = 1024
-# DivideSkip's weight of a heap step against a probe.
-MU = 0.0085
+# Nodes of one block of a ball, and about how many shingles they have.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+# DivideSkip's weight of a probe against a step of the merge, which counts whole arrays.
+MU = 1.0
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,120 +230,148 @@ def prefixes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
     return gathered.join(sets.select("node", "n"), "node").select("node", "n", "hashes").mapInArrow(take, "node string, n long, own long, prefix array<bigint>")
 
 
+class Lists:
+    """Inverted lists of some sets: the sets that hold each token, in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n, sizes = len(sets), [len(x) for x in sets]
+        owner = np.repeat(np.arange(self.n), sizes)
+        _, which = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True)
+        self.own = np.split(which, np.cumsum(sizes)[:-1])
+        self.keys = np.sort(which * self.n + owner)
+        self.sizes = np.bincount(which)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def members(self, tokens: np.ndarray) -> np.ndarray:
+        """The lists of the tokens, one after another."""
+        sizes = self.sizes[tokens]
+        at = np.repeat(self.starts[tokens] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.keys[at] % self.n
+
+    def reach(self, query: int, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that share as many tokens with the query as ``needed``, and their overlaps (DivideSkip)."""
+        tokens = self.own[query]
+        tokens = tokens[np.argsort(-self.sizes[tokens], kind="stable")]
+        least = max(1, int(needed.min()))
+        long = min(least - 1, int(least / (MU * math.log2(max(2, self.sizes[tokens[0]])) + 1))) if len(tokens) else 0
+        counts = np.bincount(self.members(tokens[long:]), minlength=self.n)
+        near = np.flatnonzero((counts > 0) & (counts + long >= needed))
+        if long and len(near):
+            probes = (tokens[:long, None] * self.n + near[None, :]).ravel()
+            at = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            counts[near] += (self.keys[at] == probes).reshape(long, len(near)).sum(0)
+        near = near[counts[near] >= needed[near]]
+        return near, counts[near]
+
+
+def overlap_needed(n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    return -(-percent * (n + sizes) // (100 + percent))
+
+
 def occurrence_search(query: np.ndarray, others: list[np.ndarray], percent: int) -> tuple[list[bool], list[int]]:
     """Which candidates reach the required overlap (DivideSkip), and the overlap of each."""
-    n = len(query)
-    needed = [-(-percent * (n + len(o)) // (100 + percent)) for o in others]
-    least = max(1, min(needed))
-    lists: list[list[int]] = [[] for _ in range(n)]
-    overlap = []
-    for c, other in enumerate(others):
-        at = np.minimum(np.searchsorted(query, other), n - 1)
-        shared = at[query[at] == other].tolist()
-        overlap.append(len(shared))
-        for i in shared:
-            lists[i].append(c)
-    lists.sort(key=len, reverse=True)
-    long = min(least - 1, int(least / (MU * math.log2(max(2, len(lists[0]))) + 1)))
-    counts = [0] * len(others)
-    for c in heapq.merge(*lists[long:]):
-        counts[c] += 1
-    linked = []
-    for c, found in enumerate(counts):
-        if found and found + long >= needed[c]:
-            for probed in lists[:long]:
-                i = bisect_left(probed, c)
-                found += i < len(probed) and probed[i] == c
-        linked.append(found >= needed[c])
-    return linked, overlap
-
-
-def block_links(nodes: list[tuple[int, int, np.ndarray, np.ndarray]], percent: int, within: bool) -> list[tuple[int, int]]:
-    """Links that connect what is linked among ``nodes`` (side, own shingles, prefix, set); a spanning forest of them.
-
-    With ``within`` all nodes are one block; else only nodes of different sides are compared.
+    sizes = np.asarray([len(o) for o in others])
+    lists = Lists([*others, query])
+    counts = np.bincount(lists.members(lists.own[-1]), minlength=len(others) + 1)
+    near, _ = lists.reach(len(others), np.r_[overlap_needed(len(query), sizes, percent), len(query)])
+    linked = np.isin(np.arange(len(others)), near)
+    return linked.tolist(), counts[:-1].tolist()
+
+
+def block_links(nodes: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], percent: int, within: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """All links of ``nodes`` (side, documents, shingles of the ball, prefix, set) that count in the ball.
+
+    Given are a spanning forest of them and, per node, how many documents it links to. With
+    ``within`` all nodes are one block; else only nodes of different sides are compared.
     """
-    parent = list(range(len(nodes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    lists: dict[int, list[int]] = {}
-    for i, (_, _, prefix, _) in enumerate(nodes):
-        for token in prefix.tolist():
-            lists.setdefault(token, []).append(i)
-    links = []
-    for i, (side, own, prefix, shingles) in enumerate(nodes):
-        if not within and side:
+    side, copies = np.asarray([x[0] for x in nodes]), np.asarray([x[1] for x in nodes])
+    sizes = np.asarray([len(x[4]) for x in nodes])
+    prefixes, sets = Lists([x[3] for x in nodes]), Lists([x[4] for x in nodes])
+    found, label, links = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), []
+    for i, (_, _, mine, prefix, _) in enumerate(nodes):
+        if not within and side[i]:
+            continue
+        # The smallest shared shingle of the prefixes decides; the last of several writes stays.
+        order = np.argsort(prefixes.own[i])[::-1]
+        tokens, here = prefixes.own[i][order], np.isin(prefix, mine)[order]
+        credited = np.zeros(len(nodes), bool)
+        credited[prefixes.members(tokens)] = np.repeat(here, prefixes.sizes[tokens])
+        credited &= np.arange(len(nodes)) > i if within else side != side[i]
+        if not credited.any():
             continue
-        near = {j for token in prefix.tolist() for j in lists[token] if j > i or not within and nodes[j][0]}
-        here, n, chosen = root(i), len(shingles), []
-        for j in sorted(near):
-            m = len(nodes[j][3])
-            # Shingles that no other node holds can't be shared.
-            most = min(n - own, m - nodes[j][1])
-            if (within or nodes[j][0] != side) and 100 * most >= percent * (n + m - most) and root(j) != here:
-                chosen.append(j)
-        if chosen:
-            linked, _ = occurrence_search(shingles, [nodes[j][3] for j in chosen], percent)
-            for j, found in zip(chosen, linked):
-                if found and root(j) != root(i):
-                    parent[root(j)] = root(i)
-                    links.append((i, j))
-    return links
-
-
-def linked_nodes(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """``node, label`` of all nodes that link with another one."""
+        near, _ = sets.reach(i, overlap_needed(sizes[i], sizes, percent))
+        near = near[credited[near]]
+        found[i] += copies[near].sum()
+        found[near] += copies[i]
+        fresh, at = np.unique(label[near], return_index=True)
+        apart = fresh != label[i]
+        links += [(i, int(j)) for j in near[at[apart]]]
+        if apart.any():
+            label[np.isin(label, fresh[apart])] = label[i]
+    return links, found
+
+
+def linked_nodes(sets: DataFrame, copies: DataFrame, percent: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """``node, label`` of all nodes that link with another one, and ``node, linked``: to how many documents of others.
+
+    ``copies`` has ``node, copies``, the number of documents of each node.
+    """
     spark = sets.sparkSession
     path = scratch_path(spark, "prefixes")
     prefixes(sets, percent, ranges).write.parquet(path)
     known = spark.read.parquet(path)
-    posted = known.select("node", F.explode("prefix").alias("shingle"))
+    posted = known.select("node", "n", F.explode("prefix").alias("shingle"))
     heads = posted.groupBy("shingle").agg(F.count("*").alias("size"), F.min("node").alias("ball")).where("size > 1").select("shingle", "ball")
-    members = posted.join(heads, "shingle").select("ball", "node").distinct()
+    members = posted.join(heads, "shingle").groupBy("ball", "node").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("mine"))
     path = scratch_path(spark, "balls")
     members.write.parquet(path)
     members = spark.read.parquet(path)
-    blocks = members.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = members.groupBy("ball").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = members.join(blocks, "ball").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = spread.select(
-        "ball", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
-    gathered = asked.join(known.join(sets.select("node", "shingles"), "node").select("node", "own", "prefix", "shingles"), "node")
+        "ball", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "mine")
+    whole = known.join(sets.select("node", "shingles"), "node").join(copies, "node")
+    gathered = asked.join(whole.select("node", "copies", "prefix", "shingles"), "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, nodes = None, [], []
 
         def answer() -> pa.RecordBatch:
-            links = block_links(nodes, percent, held[1] == held[2])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i, _ in links], pa.string()), pa.array([names[j] for _, j in links], pa.string())], names=["x", "y"])
+            links, found = block_links(nodes, percent, held[1] == held[2])
+            some = np.flatnonzero(found).tolist()
+            return pa.RecordBatch.from_arrays([
+                pa.array([names[i] for i in some] + [names[i] for i, _ in links], pa.string()),
+                pa.array([None] * len(some) + [names[j] for _, j in links], pa.string()),
+                pa.array([int(found[i]) for i in some] + [0] * len(links), pa.int64())], names=["x", "y", "linked"])
 
         for batch in batches:
-            for ball, i, j, side, node, only, prefix, value in zip(*(batch.column(c).to_pylist() for c in range(8))):
+            for ball, i, j, side, node, times, mine, prefix, value in zip(*(batch.column(c).to_pylist() for c in range(9))):
                 if (ball, i, j) != held:
                     if len(names) > 1:
                         yield answer()
                     held, names, nodes = (ball, i, j), [], []
                 names.append(node)
-                nodes.append((side, only, np.asarray(prefix, np.int64), np.frombuffer(value, "<u8")))
+                nodes.append((side, times, np.asarray(mine, np.int64), np.asarray(prefix, np.int64), np.frombuffer(value, "<u8")))
         if len(names) > 1:
             yield answer()
 
-    ordered = gathered.select("ball", "i", "j", "side", "node", "own", "prefix", "shingles").repartition("ball", "i", "j").sortWithinPartitions("ball", "i", "j", "node")
-    return components(ordered.mapInArrow(search, "x string, y string"))
+    ordered = gathered.select("ball", "i", "j", "side", "node", "copies", "mine", "prefix", "shingles").repartition("ball", "i", "j").sortWithinPartitions("ball", "i", "j", "node")
+    path = scratch_path(spark, "links")
+    ordered.mapInArrow(search, "x string, y string, linked long").write.parquet(path)
+    links = spark.read.parquet(path)
+    counts = links.where("y IS NULL").groupBy(F.col("x").alias("node")).agg(F.sum("linked").alias("linked"))
+    return components(links.where("y IS NOT NULL").select("x", "y")), counts
 
 
 def similarity_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, key, n_shingles, component_id`` of every document.
+    """``doc_id, key, n_shingles, component_id, n_links`` of every document.
 
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased; a document's set
     holds its distinct shingles of ``size`` words, or with fewer words the whole sequence. Two
     documents link when ``100 * intersection >= percent * union``. ``component_id`` is the smallest
-    ``doc_id`` reachable by links (null ids count only where there is no other). Null, empty and
+    ``doc_id`` reachable by links and ``n_links`` counts the other documents it links with (null ids count only where there is no other). Null, empty and
     wordless texts have no shingles and stay alone; repeated rows link with each other; an empty
     table gives no rows; other columns are ignored; texts are read whole.
     """
@@ -357,15 +383,16 @@ def similarity_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     shared = shared_counts(rows, size, ranges)
     able = about.where("n_shingles > 0").join(shared, "key").where(100 * F.col("shared") >= percent * F.col("n_shingles"))
     path = scratch_path(spark, "nodes")
-    able.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("key").alias("key")).write.parquet(path)
+    able.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("key").alias("key"), F.count("*").alias("copies")).write.parquet(path)
     nodes = spark.read.parquet(path)
-    sets = stored_sets(rows, nodes, size)
+    sets = stored_sets(rows, nodes.select("node", "key"), size)
     held = sets.agg(F.sum("n")).first()[0] or 0
-    labels = linked_nodes(sets, percent, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_SHINGLES)))
+    labels, counts = linked_nodes(sets, nodes.select("node", "copies"), percent, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_SHINGLES)))
     joined = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = joined.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    named = joined.join(groups, "label").select("node", "component_id")
-    return about.join(named, "node", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = joined.join(groups, "label").join(counts, "node", "left").select(
+        "node", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return about.join(named, "node", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from folioscope.llm import html, toxicity
+from folioscope.llm import html, jaccard, toxicity
 from folioscope.llm.buffers import raw_bytes
 from folioscope.llm.tokens import Encoder
+from tests.llm.test_texts import WORD, frame, near_copies
 
 
 def test_field_is_fitted_on_every_document():
@@ -58,3 +59,19 @@ def test_the_style_tree_confirms_a_hint(spark):
     page = "<article><p>Story %d</p><div class='share'>Send this %d</div></article>"
     found = main_texts(spark, [page % (i, i % 2) for i in range(40)])
     assert all(found[i] == f"Story {i}" for i in range(40))
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_every_link_is_found_once(spark, monkeypatch, block):
+    """Counts of links per document against all pairs, also where balls are cut into blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_copies()
+    sets = []
+    for _, t in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    expected = [(d, sum(i != j and linked(a, b) for j, b in enumerate(sets))) for i, ((d, _), a) in enumerate(zip(rows, sets))]
+    got = jaccard.similarity_join(frame(spark, rows), 5, 80).select("doc_id", "n_links").collect()
+    assert max(n for _, n in expected) > 10
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
