@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import collision, html, huffman, jaccard, mixing, neighbours, packing, repetition, suffix, toxicity
+from folioscope.llm import alignment, collision, html, huffman, jaccard, mixing, neighbours, packing, repetition, suffix, toxicity
 from folioscope.llm.labelled import held_out
 from folioscope.session import scratch_path
 
@@ -122,3 +122,9 @@ weighed AS (
 SELECT doc_id, size, source_size, target, (repeats * size)::BIGINT AS taken FROM repeated""")
 def op10(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_fragment_monoid_alignment")
+def op11(spark, folder):
+    found = alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
