@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import alignment, collision, html, huffman, jaccard, mixing, neighbours, packing, repetition, suffix, toxicity
+from folioscope.llm import alignment, collision, html, huffman, jaccard, lexical, mixing, neighbours, packing, repetition, sharding, suffix, toxicity
 from folioscope.llm.labelled import held_out
 from folioscope.session import scratch_path
 
@@ -128,3 +128,40 @@ def op10(spark, folder):
 def op11(spark, folder):
     found = alignment.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+SEARCH_SQL = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS place,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}') AS terms FROM documents
+), docs AS (SELECT doc_id, place, terms, len(terms)::BIGINT AS n FROM split WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS N_docs, sum(n)::BIGINT AS L FROM docs),
+asked AS (
+  SELECT item_id, row_number() OVER () AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}') AS terms
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), wanted AS (SELECT item, any_value(item_id) AS item_id, term, count(*)::BIGINT AS times FROM (SELECT item, item_id, unnest(terms) AS term FROM asked) GROUP BY item, term),
+words AS (SELECT DISTINCT term FROM wanted),
+tf AS (
+  SELECT place, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf
+  FROM (SELECT place, doc_id, n, unnest(terms) AS term FROM docs) JOIN words USING (term) GROUP BY place, term
+), weights AS (
+  SELECT term, floor(1000 * ln(((2 * N_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+), scored AS (
+  SELECT item, any_value(item_id) AS item_id, place, any_value(doc_id) AS doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * N_docs) // L))))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term), totals GROUP BY item, place
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""".replace("{term}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+@query("op12_bag_dedup_search", SEARCH_SQL)
+def op12(spark, folder):
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+@query("op13_weighted_hash_tree")
+def op13(spark, folder):
+    found = sharding.shard_documents(table(spark, folder, "documents"), sharding.layout(24), sharding.layout(25))
+    return found.select("row.doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
