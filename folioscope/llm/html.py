@@ -8,7 +8,9 @@ of low importance on a host with enough pages are presentation, and are cut from
 Pages count once per host however often they are repeated, and long running text that is not common
 on the host stays where its branch is cut. Elements that hold menus, forms, scripts and the like by
 their tag or class are cut on every host; inside an article, and for parts of an id, such a name only
-raises the limit under which the branch goes.
+raises the limit under which the branch goes. The same holds for a form or a named element outside of
+which a page has no running text: it needs the consent of the tree. The story is looked for in the
+page's articles only if they hold most of the running text that the tree has left.
 """
 
 from __future__ import annotations
@@ -65,6 +67,10 @@ class Node:
     def __init__(self, tag: str, style: str, parent: "Node | None", noise: bool, hint: bool = False):
         self.tag, self.style, self.parent, self.noise, self.hint, self.items = tag, style, parent, noise, hint, []
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.name_path()
+
+    def name_path(self) -> None:
+        parent, style, hint = self.parent, self.style, self.hint
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else ''}>{style}{'?' * hint}") >> 1
 
 
@@ -128,23 +134,75 @@ def parse(html: str) -> Node:
             at = close.end() if close else n
         elif tag not in VOID and not found.group(3).endswith("/"):
             here = child
-    return root
+    return with_doubtful_noise(root)
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The article elements (or main ones) outside noise, outermost only; else the whole page."""
-    for wanted in ("article", "main"):
-        found, stack = [], [root]
+def running(nodes: list[Node], removed: frozenset[int] = frozenset(), common: frozenset[int] = frozenset(), root: Node | None = None, noise=None) -> int:
+    """Characters in the long blocks of these branches."""
+    return sum(len(b) for b in blocks(nodes, removed, common, root, noise) if len(b) >= LONG)
+
+
+def outermost(root: Node, wanted) -> list[Node]:
+    """The highest nodes that ``wanted`` takes, in page order; what lies below other noise is not looked at."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if wanted(node):
+            found.append(node)
+        elif not node.noise:
+            stack.extend(x for x in reversed(node.items) if isinstance(x, Node))
+    return found
+
+
+def doubtful(node: Node) -> bool:
+    """Whether an element is noise only as a form or by its name, and not as something that readers add."""
+    return node.noise and (node.tag == "form" or node.tag not in NOISE | HIDDEN) and not set(WORDS.split(node.style)) & ADDED
+
+
+def with_doubtful_noise(root: Node) -> Node:
+    """The page, where doubtful noise that holds its story is a hint only.
+
+    It does where the page outside of noise has no article with text, and less than a fifth of the running
+    text of that branch; then what the branch holds is looked at in turn.
+    """
+    held = outermost(root, doubtful)
+    while held:
+        if blocks(outermost(root, lambda node: not node.noise and node.tag in ("article", "main")), frozenset()):
+            break
+        outside = sum(map(len, blocks([root], frozenset())))
+        sizes = [running([node], noise=lambda x: x.noise and not doubtful(x)) for node in held]
+        if max(sizes) <= 5 * outside:
+            break
+        node = held[sizes.index(max(sizes))]
+        node.noise, node.hint = False, True
+        stack = [node]
         while stack:
             node = stack.pop()
-            if node.noise:
-                continue
-            if node.tag == wanted:
-                found.append(node)
-                continue
-            stack.extend(x for x in reversed(node.items) if isinstance(x, Node))
-        if found:
+            node.name_path()
+            stack.extend(x for x in node.items if isinstance(x, Node))
+        held = outermost(root, doubtful)
+    return root
+
+
+def main_nodes(root: Node, removed: frozenset[int] = frozenset(), common: frozenset[int] = frozenset()) -> list[Node]:
+    """The articles (or main elements) outside noise, if they hold most of the page's running text; else the page.
+
+    One article without running text counts with all its text. Several are cards, and are left out of
+    a page that has its story elsewhere.
+    """
+    cards: list[Node] = []
+    for wanted in ("article", "main"):
+        found = outermost(root, lambda node: not node.noise and node.tag == wanted)
+        if not found:
+            continue
+        own = running(found, removed, common, root)
+        held = own or (sum(map(len, blocks(found, removed, common, root))) if len(found) == 1 else 0)
+        if 2 * held >= held + running([root], removed, common, root) - own:
             return found
+        if wanted == "article":
+            cards = [node for node in found if not running([node], removed, common, root)]
+    for node in cards:
+        node.noise = True
     return [root]
 
 
@@ -165,8 +223,8 @@ def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1 if text else 0
 
 
-def blocks(nodes: list[Node], removed: frozenset[int], common: frozenset[int] = frozenset(), root: Node | None = None) -> list[str]:
-    """Texts of the blocks in page order, without noise and removed branches.
+def blocks(nodes: list[Node], removed: frozenset[int], common: frozenset[int] = frozenset(), root: Node | None = None, noise=None) -> list[str]:
+    """Texts of the blocks in page order, without noise (what ``noise`` takes, if given) and removed branches.
 
     Of a removed branch the places stay whose text on the page ``root`` is long and not ``common`` on its host.
     """
@@ -182,8 +240,18 @@ def blocks(nodes: list[Node], removed: frozenset[int], common: frozenset[int] =
             if text:
                 out.append(text)
 
-    def kept(node: Node) -> bool:
-        return not node.noise and (node.path in stay or any(kept(x) for x in node.items if isinstance(x, Node)))
+    # Branches with a place that stays, up to the root.
+    kept: set[int] = set()
+    stack = [root] if stay else []
+    while stack:
+        node = stack.pop()
+        if node.noise:
+            continue
+        stack.extend(x for x in node.items if isinstance(x, Node))
+        if node.path in stay:
+            while node is not None and id(node) not in kept:
+                kept.add(id(node))
+                node = node.parent
 
     stack = list(reversed(nodes))
     while stack:
@@ -192,7 +260,7 @@ def blocks(nodes: list[Node], removed: frozenset[int], common: frozenset[int] =
             close()
         elif isinstance(item, str):
             held.append(item)
-        elif item.noise or item.path in removed and not (stay and kept(item)):
+        elif (noise(item) if noise else item.noise) or item.path in removed and id(item) not in kept:
             continue
         elif item.tag == "br":
             held.append("\n")
@@ -205,6 +273,10 @@ def blocks(nodes: list[Node], removed: frozenset[int], common: frozenset[int] =
     return out
 
 
+def page_text(root: Node, removed: frozenset[int] = frozenset(), common: frozenset[int] = frozenset()) -> str:
+    return "\n\n".join(blocks(main_nodes(root, removed, common), removed, common, root))
+
+
 def observations(root: Node) -> Iterator[tuple[int, int, int, bool, int, int]]:
     """Per place of the page outside noise: path, parent's path, depth, whether its name hints at noise, hashes of the styles and of the text below."""
     styles, texts, about = {}, {}, {}
@@ -317,7 +389,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
                 texts = []
                 for page, removed, common in zip(*(part.column(c).to_pylist() for c in (1, 2, 3))):
                     root = parse(page or "")
-                    texts.append("\n\n".join(blocks(main_nodes(root), frozenset(removed or ()), frozenset(common or ()), root)))
+                    texts.append(page_text(root, frozenset(removed or ()), frozenset(common or ())))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 

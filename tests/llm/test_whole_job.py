@@ -75,3 +75,63 @@ def test_every_link_is_found_once(spark, monkeypatch, block):
     got = jaccard.similarity_join(frame(spark, rows), 5, 80).select("doc_id", "n_links").collect()
     assert max(n for _, n in expected) > 10
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+STORY = "The council met on Monday and spoke for many hours about the new bridge, its price and the people who live beside it. " * 3
+
+
+def text_of(page):
+    return html.page_text(html.parse(page))
+
+
+def test_deeply_nested_pages():
+    deep = "<div>" * 6000 + STORY + "</div>" * 6000
+    assert text_of(f"<body>{deep}</body>") == STORY.strip()
+    root = html.parse(f"<body><section>{deep}</section></body>")
+    section = next(x for x in root.items[0].items)
+    assert html.page_text(root, frozenset([section.path])) == STORY.strip()
+    assert html.page_text(root, frozenset([section.path]), frozenset([html.text_hash(STORY.strip())])) == ""
+
+
+@pytest.mark.parametrize("page", [
+    f"<div><h1>Bridge</h1><p>{STORY}</p></div><article><h2>Teaser one</h2></article><article><h2>Teaser two</h2></article>",
+    f"<div class='post share'><h1>Bridge</h1><p>{STORY}</p></div>",
+    f"<form><div class='menu'>Home</div><div class='widget'><h1>Bridge</h1><p>{STORY}</p></div></form>",
+    f"<main><h1>Bridge</h1><p>{STORY}</p></main><article>Teaser</article>",
+])
+def test_the_story_stays(page):
+    assert text_of(page) == f"Bridge\n\n{STORY.strip()}"
+
+
+def test_noise_stays_noise_where_the_page_has_an_article():
+    notice = f"<div class='cookie-notice'>{STORY}</div>"
+    assert text_of(f"<article><p>Short news.</p></article>{notice}") == "Short news."
+    assert text_of(f"<div><p>{STORY}</p></div><div class='comments'>{STORY * 9}</div>") == STORY.strip()
+    assert text_of(f"<nav>{STORY}</nav><footer>{STORY}</footer>") == ""
+    assert text_of(f"<article><p>Short news.</p></article><form>{STORY}</form>") == "Short news."
+
+
+def test_entropies_of_a_small_host(spark):
+    """Shape and content entropy of every place against the definition."""
+    import collections
+    import math
+
+    bodies = ["<div><p>one</p><p>two</p></div><i>same</i>", "<div><p>three</p></div><i>same</i>", "<div><p>four</p></div><i>same</i>", "<div></div>"]
+    rows = [(i, "https://h.example/", b, "h.example") for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(3)
+    trees, _ = html.site_trees(pages)
+    seen = collections.defaultdict(list)
+    for body in bodies:
+        for path, _, _, _, styles, text in html.observations(html.parse(body)):
+            seen[path].append((styles, text))
+
+    def entropy(values):
+        counts, m = collections.Counter(values).values(), len(values)
+        return 1.0 if m == 1 else -sum(n / m * math.log(n / m, m) for n in counts)
+
+    found = {r.path: r for r in trees.collect()}
+    assert found.keys() == seen.keys()
+    for path, values in seen.items():
+        assert found[path].shape == pytest.approx(entropy([s for s, _ in values]), abs=1e-9)
+        if any(t for _, t in values):
+            assert found[path].content == pytest.approx(entropy([t for _, t in values]), abs=1e-9)
