@@ -13,6 +13,10 @@ from folioscope.llm import jaccard, mixing, packing, suffix, toxicity
 from folioscope.llm.queries import table, vocabulary
 from folioscope.session import scratch_path
 
+# Bytes of a string that is cut where it occurs twice. A passage of 50 words has about 300 bytes in the
+# languages of the corpus, hardly ever less than these.
+PASSAGE_BYTES = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field doesn't call toxic (score below 0.7).
@@ -28,12 +32,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard.deduplicate(docs, size=5, percent=80)
 
 
-def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of any 400-byte string that occurs elsewhere; ``n_chars`` follows the text.
+def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = PASSAGE_BYTES) -> DataFrame:
+    """Texts without the bytes of any string of ``length`` bytes that occurs elsewhere; ``n_chars`` follows the text.
 
-    A character that loses some of its bytes goes. Documents stay, even where nothing is left.
+    Every copy of such a string goes, none is kept: what many documents share is boilerplate. A
+    character that loses some of its bytes goes. Documents stay, even where nothing is left.
     """
-    found = suffix.cut_repeats(docs, length=400)
+    found = suffix.cut_repeats(docs, length=length)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     columns = {"text": text, "n_chars": F.coalesce(F.length(text).cast("long"), F.col("row.n_chars"))}
     return found.select(*[columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
