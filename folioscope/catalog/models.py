@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.catalog.base import acts, cl, fl, over, query, rounded, sc, sql_label, table, tx
 from folioscope.operators import features, outliers, pricing, profiling, scoring
+from folioscope.plans import proximity
 from folioscope.session import scratch_path
 
 # --- features -----------------------------------------------------------------------------------
@@ -282,8 +283,8 @@ def m9(spark, d):
 def m9b(spark, d):
     rows = model_rows(spark, d)
     scaled = scoring.apply_scaler(rows, scoring.fit_scaler(rows, MODEL)).select("pk", F.array(*MODEL).alias("vector"))
-    fitted = outliers.fit_density(scaled, "pk", "vector", 20)
-    return outliers.density_factor(scaled, scaled, fitted, "pk", "vector", 20)
+    found = outliers.graph_density(scaled, "vector", 20).select("id", F.col("novelty").alias("lof"))
+    return scaled.select("pk", proximity.vector_id("vector").alias("id")).join(found, "id").select("pk", "lof")
 
 
 @query("m20_reconstruction_error")
