@@ -9,8 +9,8 @@ from folioscope import constants as K
 from folioscope.functions import values as V
 from folioscope.operators.statistics import top_values
 from folioscope.plans.joins import attach_group_stats, attach_lookup, matches, prefixed
-from folioscope.plans.quantiles import exact_quantiles, value_bucket
-from folioscope.plans.ranks import text_bucket, value_positions
+from folioscope.plans.quantiles import exact_quantiles
+from folioscope.plans.ranks import value_positions
 
 AREA_FEATURES = [
     "area_terreno", "area_construida", "area_total", "log_area_terreno", "log_area_construida",
@@ -123,12 +123,12 @@ def select_numbers(df: DataFrame, names: list[str]) -> list[Column]:
 def fit_codes(df: DataFrame, column: str, missing: str | None = None) -> DataFrame:
     """Alphabetical code per distinct value: ``column``, ``code``.
 
-    Positions come from prefix blocks, so the distinct values are never sorted in one task.
+    Positions come from a dictionary sorted over the cluster, so no task sorts all distinct values.
     """
     c = F.col(column).cast("string")
     value = F.coalesce(c, F.lit(missing)) if missing is not None else c
     distinct = df.select(value.alias(column)).where(F.col(column).isNotNull()).distinct()
-    return value_positions(distinct, [], column, text_bucket(F.col(column))).select(column, F.col("below").cast("int").alias("code"))
+    return value_positions(distinct, [], column).select(column, F.col("below").cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, column: str, missing: str | None = None, name: str | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ def with_percent_rank(df: DataFrame, keys: list[str], value: str, name: str) ->
     Ranks are found per distinct value; the rows are joined to them on group and value. Rows
     without a group or a value have no rank.
     """
-    positions = value_positions(df, keys, value, value_bucket(F.col(value)))
+    positions = value_positions(df, keys, value)
     rank = F.when(F.col("size") > 1, F.col("below") / (F.col("size") - 1)).otherwise(F.lit(0.0))
     ranks = positions.select(*keys, value, "copies", rank.alias(name))
     return attach_group_stats(df, ranks, [*keys, value], "copies").drop("copies")

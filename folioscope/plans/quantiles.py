@@ -2,8 +2,11 @@
 
 A first pass counts values per group and logarithmic bucket, which is combined map-side and stays
 bounded however large a group is. Running totals over the buckets tell which bucket holds each
-wanted rank. A second pass reads only the values of those buckets, counts equal values together and
-picks the ranks. Interpolation is linear between the two neighbouring ranks.
+wanted rank. Where such a bucket holds more than ``WINDOW_ROWS`` rows of different values, it is cut
+between its own least and largest value into ``CUTS`` parts, which are counted likewise, until the part
+that holds the rank is small or is one value. A last pass reads only the values of those parts,
+counts equal values together and picks the ranks. Interpolation is linear between the two
+neighbouring ranks.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from pyspark.sql import functions as F
 from folioscope.plans.joins import LOOKUP_ROWS, is_small, matches, prefixed
 
 BUCKETS_PER_E = 512.0
+# Rows that the last pass may sort for one rank, parts of a bucket that holds more, and rounds of cutting.
+# A round narrows a bucket a thousandfold; doubles of one bucket are equal after a few.
+WINDOW_ROWS, CUTS, ROUNDS = 100_000, 1024, 12
 
 
 def value_bucket(c: Column) -> Column:
@@ -23,6 +29,13 @@ def value_bucket(c: Column) -> Column:
     return (F.signum(c) * F.floor(F.log1p(F.abs(c)) * F.lit(BUCKETS_PER_E))).cast("long")
 
 
+def part_share(v: Column, low: Column, high: Column) -> Column:
+    """Where a value lies between two others, 0 to 1; on a scale of ratios where they are far apart and positive."""
+    ratios = (F.log(v) - F.log(low)) / (F.log(high) - F.log(low))
+    # The difference of two doubles may overflow; that of their halves doesn't.
+    return F.when((low > 0) & (high > 4 * low), ratios).otherwise((v / 2 - low / 2) / (high / 2 - low / 2))
+
+
 def exact_quantiles(
     rows: DataFrame,
     keys: list[str],
@@ -34,39 +47,49 @@ def exact_quantiles(
     number = F.col(value).cast("double")
     base = rows.where(number.isNotNull()).select(*keys, number.alias("__v"), value_bucket(number).alias("__b"))
 
-    sizes = base.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    counts = [F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
+    sizes = base.groupBy(*keys, "__b").agg(*counts)
     group = Window.partitionBy(*keys)
     running = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sizes.select(
-        *keys, "__b", "__n",
-        F.sum("__n").over(running).alias("__end"),
-        F.sum("__n").over(group).alias("__total"),
-    )
+    placed = sizes.withColumns({"__end": F.sum("__n").over(running), "__total": F.sum("__n").over(group)})
     ranks = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in probs.items()}
 
     def within(rank: Column, start: Column, end: Column) -> Column:
         return (rank >= start) & (rank < end)
 
-    start, end = F.col("__end") - F.col("__n"), F.col("__end")
-    wanted = reduce(
-        lambda a, b: a | b,
-        [within(edge(rank), start, end) for rank in ranks.values() for edge in (F.floor, F.ceil)],
-    )
-    targets = placed.where(wanted).select(*keys, "__b", start.alias("__start"), "__total")
+    def holding_a_rank(found: DataFrame) -> DataFrame:
+        """Parts (``__n`` rows that end at rank ``__end``) that hold a wanted rank, with their first rank."""
+        start, end = F.col("__end") - F.col("__n"), F.col("__end")
+        wanted = [within(edge(rank), start, end) for rank in ranks.values() for edge in (F.floor, F.ceil)]
+        return found.where(reduce(lambda a, b: a | b, wanted)).select(*keys, "__b", "__n", "__low", "__high", start.alias("__start"), "__total")
 
     on = [*keys, "__b"]
-    kept, small = is_small(targets, max_targets)
-    if small:
-        other = prefixed(F.broadcast(kept), on, "__r_")
-        inside = base.join(other, matches(base, other, on, "__r_"), "inner")
-        counted = inside.groupBy(*on, "__start", "__total", "__v").agg(F.count("*").alias("__n"))
-    else:
-        # Copies are counted together before the shuffled join, so that a hot value is one row.
-        distinct = base.groupBy(*on, "__v").agg(F.count("*").alias("__n"))
-        other = prefixed(kept, on, "__r_")
-        counted = distinct.join(other, matches(distinct, other, on, "__r_"), "inner").drop(*["__r_" + k for k in on])
-
-    upto = Window.partitionBy(*on).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def inside(targets: DataFrame, small: bool, of: DataFrame) -> DataFrame:
+        """Values of the targets' buckets that lie in the targets' parts of them."""
+        other = prefixed(F.broadcast(targets) if small else targets, [*on, "__n"], "__r_")
+        part = matches(of, other, on, "__r_") & of["__v"].between(other["__low"], other["__high"])
+        return of.join(other, part, "inner").drop(*["__r_" + k for k in on], "__r___n")
+
+    # Copies are counted together before a shuffled join, so that a hot value is one row.
+    distinct = base.groupBy(*on, "__v").agg(F.count("*").alias("__copies"))
+    single = base.withColumn("__copies", F.lit(1).cast("long"))
+    kept, small = is_small(holding_a_rank(placed), max_targets)
+    for _ in range(ROUNDS):
+        many = (F.col("__n") > WINDOW_ROWS) & (F.col("__low") < F.col("__high"))
+        if kept.where(many).isEmpty():
+            break
+        held = inside(kept.where(many), small, single if small else distinct)
+        share = part_share(F.col("__v"), F.col("__low"), F.col("__high"))
+        of = [*on, "__start", "__total"]
+        parts = held.withColumn("__part", F.least(F.floor(share * CUTS), F.lit(CUTS - 1))).groupBy(*of, "__part").agg(
+            F.sum("__copies").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        upto = Window.partitionBy(*of).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        finer = holding_a_rank(parts.withColumn("__end", F.col("__start") + F.sum("__n").over(upto)))
+        kept, small = is_small(kept.where(~many).unionByName(finer), max_targets)
+    counted = inside(kept, small, single if small else distinct).groupBy(*on, "__start", "__total", "__v").agg(F.sum("__copies").alias("__n"))
+
+    upto = Window.partitionBy(*on, "__start").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = counted.withColumn("__to", F.col("__start") + F.sum("__n").over(upto))
     begin, stop = F.col("__to") - F.col("__n"), F.col("__to")
     picks = []
