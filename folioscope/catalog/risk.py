@@ -138,43 +138,58 @@ def b16(spark, d):
     return flat(rounded(found.select(*columns), 4, precio_promedio=2, score_riesgo=6))
 
 
-@query("b20_property_report", over("tx", """
-SELECT p.matricula, n AS total_transacciones, round(promedio, 4) AS precio_promedio, ultima AS precio_ultima, score AS score_riesgo,
-  departamento, municipio, historial FROM puntuado p
+HISTORY = """coalesce(strftime(fecha_radicacion, '%Y-%m-%d'), '') || ':' || pk || ':' || coalesce(nombre_natujur, 'N/A') || ':' || coalesce(valor_acto, 0)::BIGINT || ':' ||
+  coalesce(departamento, 'N/A') || ':' || coalesce(municipio, 'N/A') || ':' || coalesce(tipo_predio, 'N/A') || ':' || (coalesce(count_a, 0) + coalesce(count_de, 0))"""
+
+
+def history_text(*also):
+    """All fields of the entries of a history page, as text."""
+    def entry(h):
+        day = F.coalesce(F.date_format(h["fecha"], "yyyy-MM-dd"), F.lit(""))
+        fields = [h["pk"], h["tipo_acto"], h["valor"].cast("long"), h["departamento"], h["municipio"], h["tipo_predio"], h["count_intervinientes"], *[f(h) for f in also]]
+        return F.concat_ws(":", day, *[f.cast("string") for f in fields])
+
+    return F.array_join(F.transform("historial", entry), " ").alias("historial")
+
+
+@query("b20_property_report", over("tx", f"""
+SELECT p.matricula, n AS total_transacciones, round(tasa, 3) AS tasa_anomalias, round(promedio, 4) AS precio_promedio, ultima AS precio_ultima,
+  score AS score_riesgo, CASE WHEN len({ALERTS}) > 0 THEN array_to_string({ALERTS}, ' | ') ELSE '{K.ALERT_NONE}' END AS alertas,
+  departamento, municipio, true AS encontrada, 1 AS paginas, historial FROM puntuado p
 LEFT JOIN (SELECT matricula, valor_acto AS ultima FROM (SELECT *, row_number() OVER (PARTITION BY matricula
   ORDER BY coalesce(fecha_radicacion, DATE '1900-01-01') DESC, pk DESC) AS r FROM tx WHERE valor_acto > 0) WHERE r = 1) USING (matricula)
 LEFT JOIN (SELECT matricula, departamento, coalesce(municipio, 'N/A') AS municipio FROM (SELECT *, row_number() OVER (PARTITION BY matricula
   ORDER BY coalesce(fecha_radicacion, DATE '1900-01-01'), pk) AS r FROM tx) WHERE r = 1) USING (matricula)
-LEFT JOIN (SELECT matricula, string_agg(pk || ':' || (coalesce(count_a, 0) + coalesce(count_de, 0)) || ':' ||
+LEFT JOIN (SELECT matricula, string_agg({HISTORY} || ':' ||
   coalesce(valor_acto < 10000000 OR valor_acto > 5000000000, false), ' ' ORDER BY fecha_radicacion DESC NULLS LAST, pk DESC)
   AS historial FROM tx GROUP BY 1) USING (matricula)""", resumen=SUMMARY, puntuado=SCORED_SUMMARY))
 def b20(spark, d):
     report = property.property_report(tx(spark, d))
-    entry = F.transform("historial", lambda h: F.concat_ws(
-        ":", h["pk"], h["count_intervinientes"].cast("string"), h["es_anomalo"].cast("string")))
     out = report.select(
-        "matricula", "total_transacciones", "precio_promedio", "precio_ultima", "score_riesgo",
-        "ubicacion.departamento", "ubicacion.municipio", F.array_join(entry, " ").alias("historial"),
-    )
-    return rounded(out, 3, precio_promedio=4, precio_ultima=2)
+        "matricula", "total_transacciones", "tasa_anomalias", "precio_promedio", "precio_ultima", "score_riesgo", "alertas",
+        "ubicacion.departamento", "ubicacion.municipio", "encontrada", "paginas", history_text(lambda h: h["es_anomalo"]))
+    return flat(rounded(out, 3, precio_promedio=4, precio_ultima=2))
 
 
-@query("b20_stored_property_report", over("sc", """
-SELECT g.matricula, n AS total_transacciones, round(promedio, 2) AS precio_promedio, round(score, 6) AS score_riesgo,
-  departamento, municipio, historial FROM guardado g
+@query("b20_stored_property_report", over("sc", f"""
+SELECT g.matricula, n AS total_transacciones, round(tasa, 3) AS tasa_anomalias, round(promedio, 2) AS precio_promedio, ultima AS precio_ultima, round(score, 6) AS score_riesgo,
+  CASE WHEN len({STORED_ALERTS}) > 0 THEN array_to_string({STORED_ALERTS}, ' | ') ELSE '{K.STORED_NONE}' END AS alertas,
+  departamento, municipio, true AS encontrada, 1 AS paginas, historial FROM guardado g
+LEFT JOIN (SELECT matricula, valor_acto AS ultima FROM (SELECT *, row_number() OVER (PARTITION BY matricula
+  ORDER BY coalesce(fecha_radicacion, DATE '1900-01-01') DESC, pk DESC) AS r FROM sc WHERE valor_acto > 0) WHERE r = 1) USING (matricula)
 LEFT JOIN (SELECT matricula, departamento, coalesce(municipio, 'N/A') AS municipio FROM (SELECT *, row_number() OVER (PARTITION BY matricula
   ORDER BY coalesce(fecha_radicacion, DATE '1900-01-01') DESC, pk DESC) AS r FROM sc WHERE departamento IS NOT NULL) WHERE r = 1)
   USING (matricula)
-LEFT JOIN (SELECT matricula, string_agg(pk || ':' || is_anomaly, ' ' ORDER BY fecha_radicacion DESC NULLS LAST, pk DESC) AS historial
+LEFT JOIN (SELECT matricula, string_agg({HISTORY} || ':' || is_anomaly || ':' || coalesce(floor(anomaly_score * 10000 + 0.5)::BIGINT::VARCHAR, ''), ' '
+  ORDER BY fecha_radicacion DESC NULLS LAST, pk DESC) AS historial
   FROM sc GROUP BY 1) USING (matricula)""", guardado=STORED))
 def b20b(spark, d):
     report = property.stored_property_report(sc(spark, d))
-    entry = F.transform("historial", lambda h: F.concat_ws(":", h["pk"], h["es_anomalo"].cast("string")))
+    score = lambda h: F.coalesce(F.floor(h["anomaly_score"] * 10000 + 0.5).cast("string"), F.lit(""))
     out = report.select(
-        "matricula", "total_transacciones", "precio_promedio", "score_riesgo",
-        "ubicacion.departamento", "ubicacion.municipio", F.array_join(entry, " ").alias("historial"),
-    )
-    return rounded(out, 2, score_riesgo=6)
+        "matricula", "total_transacciones", "tasa_anomalias", "precio_promedio", "precio_ultima", "score_riesgo", "alertas",
+        "ubicacion.departamento", "ubicacion.municipio", "encontrada", "paginas", history_text(lambda h: h["es_anomalo"], score))
+    return flat(rounded(out, 2, score_riesgo=6, tasa_anomalias=3))
 
 
 COMBINED = f"""SELECT *, 0.4 * (1 / (1 + exp(puntaje_a - 1))) + 0.3 * (1 / (1 + exp(puntaje_b - 1.0))) + 0.3 * {RULES} AS s

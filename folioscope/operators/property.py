@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from folioscope import constants as K
 from folioscope.functions import values as V
 from folioscope.operators.risk import outside_usual_value
-from folioscope.plans.joins import HOT_ROWS, attach_group_stats
+from folioscope.plans.joins import attach_lookup
+from folioscope.plans.ranks import row_positions
 
 # A history page holds about this many transactions; a property with more gets further pages.
 PAGE_ROWS = 100_000
@@ -122,7 +123,7 @@ def stored_property_summary(scored: DataFrame) -> DataFrame:
     return rated.withColumn("alertas", found)
 
 
-def history_entry(anomalous: Column) -> Column:
+def history_entry(anomalous: Column, also: tuple[str, ...] = ()) -> Column:
     """Sortable history record; the key breaks ties of the date."""
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("N/A")).alias(name)
@@ -137,34 +138,45 @@ def history_entry(anomalous: Column) -> Column:
         text("tipo_predio"),
         (V.as_int(F.col("count_a")) + V.as_int(F.col("count_de"))).alias("count_intervinientes"),
         anomalous.alias("es_anomalo"),
+        *[F.col(c) for c in also],
     )
 
 
-def property_history(
-    tx: DataFrame, anomalous: Column, page_rows: int = PAGE_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """History per property, newest first, in pages.
+def property_history(tx: DataFrame, anomalous: Column, page_rows: int = PAGE_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
+    """History per property in pages of ``page_rows``, newest first: page 0 holds the newest.
 
-    A property with up to ``page_rows`` transactions has one page. A larger one is cut by a hash
-    of the row key into as many pages as it needs, each sorted, so that no row ever has to hold
-    an unbounded list and no transaction is left out. Row keys are unique (see ``first_per_key``).
+    Pages are cut by the rank in (date, key) order, so they follow on from one another, and each is sorted.
+    Properties of more than one page are ranked by a sort over the whole cluster; no row ever has to
+    hold an unbounded list and no transaction is left out. ``also`` names columns that entries carry
+    besides the usual ones.
     """
-    known = tx.where(F.col("matricula").isNotNull())
-    sizes = known.groupBy("matricula").agg(F.count("*").alias("__n"))
-    sized = attach_group_stats(known, sizes, ["matricula"], "__n", hot_rows)
+    entry = history_entry(anomalous, also)
+    known = tx.where(F.col("matricula").isNotNull()).select("matricula", entry.alias("h"))
+    # At most one row for ``page_rows`` transactions.
+    large = known.groupBy("matricula").agg(F.count("*").alias("__n")).where(F.col("__n") > page_rows)
     pages = F.ceil(F.col("__n") / page_rows).cast("int")
-    placed = sized.withColumn("paginas", pages)
-    placed = placed.withColumn("pagina", F.pmod(F.xxhash64("pk"), F.col("paginas")).cast("int"))
-    entries = F.sort_array(F.collect_list(history_entry(anomalous)), asc=False)
-    return placed.groupBy("matricula", "pagina", "paginas").agg(entries.alias("historial"))
+    sized = attach_lookup(known, large.withColumn("paginas", pages).drop("__n"), ["matricula"])
+    entries = F.sort_array(F.collect_list("h"), asc=False).alias("historial")
+    single = sized.where(F.col("paginas").isNull()).groupBy("matricula").agg(entries)
+    history = single.select("matricula", F.lit(0).alias("pagina"), F.lit(1).alias("paginas"), "historial")
+    if large.isEmpty():
+        return history
+    many = row_positions(sized.where(F.col("paginas").isNotNull()), ["matricula"], [F.col("h").desc_nulls_last()], "__rank")
+    many = many.withColumn("pagina", F.floor(F.col("__rank") / page_rows).cast("int")).groupBy("matricula", "pagina", "paginas").agg(entries)
+    return history.unionByName(many)
+
+
+def with_newest_page(summary: DataFrame, history: DataFrame) -> DataFrame:
+    """One report per property, with its newest page; ``paginas`` tells how many the history has."""
+    newest = history.where(F.col("pagina") == 0).drop("pagina")
+    return summary.join(newest, "matricula").withColumn("encontrada", F.lit(True))
 
 
 def property_report(tx: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Heuristic report with its history pages nested, for every property."""
-    history = property_history(tx, outside_usual_value(), page_rows)
-    return property_summary(tx).join(history, "matricula").withColumn("encontrada", F.lit(True))
+    """Heuristic report with the newest page of its history, one row for every property."""
+    return with_newest_page(property_summary(tx), property_history(tx, outside_usual_value(), page_rows))
 
 
 def stored_property_report(scored: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    history = property_history(scored, V.truth(F.col("is_anomaly")), page_rows)
-    return stored_property_summary(scored).join(history, "matricula").withColumn("encontrada", F.lit(True))
+    """Report from stored scores, one row for every property; entries carry their ``anomaly_score``."""
+    return with_newest_page(stored_property_summary(scored), property_history(scored, V.truth(F.col("is_anomaly")), page_rows, ("anomaly_score",)))

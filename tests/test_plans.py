@@ -8,7 +8,6 @@ from folioscope.operators import outliers, property
 from folioscope.plans import joins, neighbours
 from folioscope.plans.quantiles import exact_quantiles, quantiles
 from folioscope.plans.ranks import value_positions
-from folioscope.plans.quantiles import value_bucket
 from folioscope.sources import writers
 
 
@@ -64,26 +63,46 @@ def test_quantile_sketch(skewed):
 
 
 def test_value_positions(skewed):
-    found = value_positions(skewed.where("g IS NOT NULL"), ["g"], "v", value_bucket(F.col("v"))).collect()
+    found = value_positions(skewed.where("g IS NOT NULL"), ["g"], "v").collect()
     pdf = skewed.toPandas().dropna()
     for row in found[::37]:
         values = pdf[pdf.g == row.g]["v"]
         assert (row.below, row["size"], row.copies) == ((values < row.v).sum(), len(values), (values == row.v).sum())
 
 
+def transactions(spark, n, hot):
+    """``hot`` of ``n`` rows are of one property, several on a day and some without a date."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7919 % 500).cast("int"))
+    return spark.range(n).select(
+        F.col("id").cast("string").alias("pk"), F.when(F.col("id") < hot, "hot").otherwise(F.col("id").cast("string")).alias("matricula"),
+        F.when(F.col("id") % 97 > 0, day).alias("fecha_radicacion"), F.lit(1e8).alias("valor_acto"),
+        F.lit("A").alias("departamento"), F.lit("B").alias("municipio"), F.lit("URBANO").alias("tipo_predio"), F.lit("VENTA").alias("nombre_natujur"),
+        F.lit(1).alias("count_a"), F.lit(1).alias("count_de"), (F.col("id") % 2 == 0).alias("is_anomaly"), (F.col("id") / n).alias("anomaly_score"))
+
+
 def test_history_pages_hold_every_row(spark):
-    rows = spark.range(1000).select(
-        F.col("id").cast("string").alias("pk"), F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("matricula"),
-        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("fecha_radicacion"), F.lit(1e8).alias("valor_acto"),
-        F.lit("A").alias("departamento"), F.lit("B").alias("municipio"), F.lit("URBANO").alias("tipo_predio"),
-        F.lit("VENTA").alias("nombre_natujur"), F.lit(1).alias("count_a"), F.lit(1).alias("count_de"))
-    pages = property.property_history(rows, F.lit(False), page_rows=100, hot_rows=50).collect()
-    hot = [p for p in pages if p.matricula == "hot"]
-    assert {p.paginas for p in hot} == {9} and len(hot) == 9 and len(pages) == 109
-    assert sorted(int(h.pk) for p in hot for h in p.historial) == list(range(900))
-    assert all(list(p.historial) == sorted(p.historial, reverse=True) for p in hot)
-    report = property.property_report(rows, page_rows=10**6)
-    assert report.where("matricula = 'hot'").first().total_transacciones == 900 and report.count() == 101
+    rows = transactions(spark, 1000, 900)
+    pages = property.property_history(rows, F.lit(False), page_rows=100).collect()
+    hot = sorted((p for p in pages if p.matricula == "hot"), key=lambda p: p.pagina)
+    assert [p.pagina for p in hot] == list(range(9)) and {p.paginas for p in hot} == {9} and len(pages) == 109
+    entries = [h for p in hot for h in p.historial]
+    newest = sorted(entries, key=lambda h: (h.fecha is not None, h.fecha or 0, h.pk), reverse=True)
+    assert entries == newest and sorted(int(h.pk) for h in entries) == list(range(900))
+    for report in (property.property_report(rows, 100), property.stored_property_report(rows, 100)):
+        found = report.where("matricula = 'hot'").collect()
+        assert report.count() == 101 and len(found) == 1 and found[0].total_transacciones == 900 and found[0].paginas == 9
+        assert [h.pk for h in found[0].historial] == [h.pk for h in entries[:100]]
+    assert {"anomaly_score"} < {*found[0].historial[0].asDict()}
+    assert property.property_report(rows, 10**6).where("matricula = 'hot'").first().paginas == 1
+
+
+def test_a_history_of_many_rows_equals_the_sorted_list(spark):
+    rows = transactions(spark, 250_100, 250_000)
+    pages = property.property_history(rows, F.lit(False), page_rows=30_000).where("matricula = 'hot'")
+    found = pages.select("pagina", F.posexplode("historial").alias("nth", "h")).select((F.col("pagina") * 30_000 + F.col("nth")).alias("place"), "h.pk")
+    places = {r.pk: r.place for r in found.collect()}
+    held = sorted(rows.where("matricula = 'hot'").select("pk", "fecha_radicacion").collect(), key=lambda r: (r.fecha_radicacion is not None, r.fecha_radicacion or 0, r.pk), reverse=True)
+    assert len(places) == 250_000 and all(places[r.pk] == n for n, r in enumerate(held))
 
 
 @pytest.fixture(scope="module")
