@@ -10,7 +10,7 @@ from folioscope.catalog.base import (
 from folioscope.functions import values as V
 from folioscope.operators import activity, cleaning, features, monitoring, quality, statistics
 from folioscope.session import scratch_path
-from folioscope.sources import readers, schemas, writers
+from folioscope.sources import clustered, readers, schemas, writers
 
 EXTRACT_COLUMNS = (
     "pk", "matricula", "fecha_radicacion", "year_radica", "departamento", "municipio", "tipo_predio",
@@ -511,9 +511,22 @@ def f11(spark, d):
     return flat(acts(spark, d).select("pk", quality.constraint_messages().alias("campos")))
 
 
+def clustered_by_property(spark, d):
+    """Folder of the transactions laid out by property, written once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in CLUSTERED:
+        CLUSTERED[key] = scratch_path(spark, "por-matricula")
+        clustered.write_clustered(tx(spark, d), CLUSTERED[key], "matricula")
+    return CLUSTERED[key]
+
+
+CLUSTERED: dict[tuple[str, str], str] = {}
+
+
 @query("f12_one_property", over("tx", "SELECT pk, matricula, valor_acto FROM tx WHERE matricula = '17'"))
 def f12(spark, d):
-    return quality.for_property(tx(spark, d), "17").select("pk", "matricula", "valor_acto")
+    path = clustered_by_property(spark, d)
+    return clustered.lookup(spark, path, "matricula", "17").select("pk", "matricula", "valor_acto")
 
 
 @query("f12_many_properties", over("tx", """
