@@ -153,13 +153,23 @@ def k1(spark, d):
     return stacked([dataset_totals(spark.read.parquet(p), n) for n, p in paths.items()])
 
 
-@query("k2_statistics_written")
+@query("k2_statistics_written", over("cl", """
+SELECT count(*) AS registros_entrada, count(*) FILTER (WHERE ml) AS registros_salida, count(*) FILTER (WHERE NOT ml) AS registros_descartados,
+  count(*) FILTER (WHERE calidad_datos = 'ERROR') AS registros_con_errores,
+  count(*) FILTER (WHERE calidad_datos = 'ADVERTENCIA') AS registros_sospechosos,
+  round(count(*) FILTER (WHERE ml) * 100.0 / count(*), 4) AS tasa_aprovechamiento, true AS con_fecha
+FROM (SELECT *, es_mercado_valido AND valor_valido AND calidad_datos = 'OK' AS ml FROM cl)"""))
 def k2(spark, d):
     folder = scratch_path(spark, "stats")
     rows = classified(spark, d)
     kinds = statistics.property_kind_year_stats(quality.dataset(rows, "ml_training"))
     writers.write_statistics({"por_tipo_predio": kinds}, statistics.run_report(rows), folder)
-    return spark.read.option("header", True).csv(f"{folder}/etl_report.csv")
+    counts = ["registros_entrada", "registros_salida", "registros_descartados", "registros_con_errores", "registros_sospechosos"]
+    report = spark.read.option("header", True).csv(f"{folder}/etl_report.csv")
+    # The time of the run is no result; that it is there is.
+    return report.select(
+        *[F.col(c).cast("long").alias(c) for c in counts], F.round(F.col("tasa_aprovechamiento").cast("double"), 4).alias("tasa_aprovechamiento"),
+        F.col("fecha_proceso").cast("timestamp").isNotNull().alias("con_fecha"))
 
 
 @query("k3_statistics_json", over("acts", """

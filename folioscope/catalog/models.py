@@ -38,10 +38,10 @@ def m1(spark, d):
     return rounded(features.transaction_features(fl(spark, d)), 6, valor_miles_millones=9, valor_acto=-1)
 
 
-@query("m1_missing_features", over("tx", """
-SELECT 'count_a' AS columna, 0 AS nulos UNION ALL SELECT 'valor_acto', 0 UNION ALL SELECT 'year', 0"""))
+@query("m1_missing_features", over("fl", " UNION ALL ".join(
+    f"SELECT '{c}' AS columna, count(*) - count({c}) AS nulos FROM f" for c in features.TRANSACTION_FEATURES), f=FEATURES))
 def m1b(spark, d):
-    return profiling.missing_per_column(features.transaction_features(tx(spark, d)).select("count_a", "valor_acto", "year"))
+    return profiling.missing_per_column(features.transaction_features(fl(spark, d)).select(*features.TRANSACTION_FEATURES))
 
 
 ACTS = """
@@ -57,17 +57,14 @@ SELECT pk, coalesce(valor_acto, 0) AS valor_acto, round(coalesce(ln(1 + valor_ac
   coalesce(numero_intervinientes > 5, false)::INTEGER::DOUBLE AS many_intervinientes,
   (numero_catastral IS NULL)::INTEGER::DOUBLE AS missing_catastral,
   (area_terreno = 0 OR area_construida = 0)::INTEGER::DOUBLE AS missing_areas,
-  (dense_rank() OVER (ORDER BY tipo_acto) - 1)::DOUBLE AS tipo_acto_encoded,
-  (dense_rank() OVER (ORDER BY municipio) - 1)::DOUBLE AS municipio_encoded
-FROM acts"""
+  {codes}
+FROM acts""".replace("{codes}", ",\n  ".join(
+    f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 END::DOUBLE AS {c}_encoded" for c in features.ACT_CATEGORIES))
 
 
 @query("m2_act_features", over("acts", ACTS))
 def m2(spark, d):
-    built = features.encode_categories(features.act_features(acts(spark, d)), ["tipo_acto", "municipio"])
-    skipped = {"tipo_predio_encoded", "estado_folio_encoded", "departamento_encoded"}
-    names = [n for n in features.ACT_FEATURES if n not in skipped]
-    return rounded(built.select("pk", *features.select_numbers(built, names)), 6, valor_m2_terreno=4, valor_m2_construida=4, valor_acto=-1)
+    return rounded(act_rows(spark, d), 6, valor_m2_terreno=4, valor_m2_construida=4, valor_acto=-1)
 
 
 @query("m3_label_codes", over("tx", """
@@ -85,15 +82,16 @@ def m4(spark, d):
 
 
 @query("m5_online_features", over("acts", """
-SELECT pk, array_to_string([valor_acto::BIGINT, numero_intervinientes, year(fecha_acto), month(fecha_acto), isodow(fecha_acto) - 1,
-  CASE tipo_acto WHEN 'compraventa' THEN 1 WHEN 'hipoteca' THEN 2 WHEN 'donacion' THEN 3 WHEN 'sucesion' THEN 7 ELSE 0 END,
-  CASE tipo_predio WHEN 'urbano' THEN 1 WHEN 'rural' THEN 2 WHEN 'mixto' THEN 3 ELSE 0 END,
-  CASE estado_folio WHEN 'activo' THEN 1 WHEN 'cancelado' THEN 2 WHEN 'cerrado' THEN 3 ELSE 0 END,
-  area_terreno::BIGINT, area_construida::BIGINT, floor(valor_acto / area_construida)::BIGINT], ',') AS vector FROM acts"""))
+SELECT pk, valor_acto AS v0, numero_intervinientes::DOUBLE AS v1, year(fecha_acto)::DOUBLE AS v2, month(fecha_acto)::DOUBLE AS v3, (isodow(fecha_acto) - 1)::DOUBLE AS v4,
+  CASE tipo_acto WHEN 'compraventa' THEN 1 WHEN 'hipoteca' THEN 2 WHEN 'donacion' THEN 3 WHEN 'sucesion' THEN 7 ELSE 0 END::DOUBLE AS v5,
+  CASE tipo_predio WHEN 'urbano' THEN 1 WHEN 'rural' THEN 2 WHEN 'mixto' THEN 3 ELSE 0 END::DOUBLE AS v6,
+  CASE estado_folio WHEN 'activo' THEN 1 WHEN 'cancelado' THEN 2 WHEN 'cerrado' THEN 3 ELSE 0 END::DOUBLE AS v7,
+  coalesce(area_terreno, 0)::DOUBLE AS v8, coalesce(area_construida, 0)::DOUBLE AS v9,
+  round(CASE WHEN area_construida > 0 THEN valor_acto / area_construida ELSE 0 END, 4) AS v10,
+  (('0x' || left(md5(concat_ws('_', departamento, municipio)), 8))::BIGINT % 1000)::DOUBLE AS v11 FROM acts"""))
 def m5(spark, d):
-    vector = F.slice(features.online_features(), 1, 11)
-    text = F.array_join(F.transform(vector, lambda v: F.floor(v).cast("string")), ",")
-    return acts(spark, d).select("pk", text.alias("vector"))
+    found = acts(spark, d).select("pk", features.online_features().alias("v"))
+    return rounded(found.select("pk", *[F.col("v")[i].cast("double").alias(f"v{i}") for i in range(12)]), 4, v0=-1)
 
 
 @query("m6_stable_split", over("tx", """
@@ -315,11 +313,25 @@ def m22(spark, d):
     return rows.select("pk", outliers.forest_score(nodes, [F.col(c) for c in MODEL]).alias("if_score"))
 
 
-@query("m23_training_summary")
+SUMMARY = f"""
+SELECT *, {len(IMPORTANT)} AS n_features, (SELECT string_agg(feature, ',' ORDER BY importance DESC, feature DESC) FROM pesos) AS variables,
+  (SELECT string_agg(floor(importance * 1000000 + 0.5)::BIGINT, ',' ORDER BY importance DESC, feature DESC) FROM pesos) AS pesos
+FROM (SELECT count(*) AS n_samples, count(*) FILTER (WHERE puntaje_a >= 0.7) AS high_risk,
+  count(*) FILTER (WHERE puntaje_a >= 0.4 AND puntaje_a < 0.7) AS suspicious, count(*) FILTER (WHERE puntaje_a < 0.4) AS normal FROM cl)"""
+WEIGHTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(covar_pop({c}, puntaje_a) / (stddev_pop({c}) FILTER (WHERE puntaje_a IS NOT NULL) * stddev_pop(puntaje_a))) AS importance FROM cl"
+    for c in IMPORTANT)
+
+
+@query("m23_training_summary", over("cl", SUMMARY, pesos=WEIGHTS))
 def m23(spark, d):
     rows = cl(spark, d).withColumn("anomaly_score", F.col("puntaje_a"))
     importance = scoring.feature_importance(rows, IMPORTANT, "puntaje_a")
-    return scoring.training_summary(rows, importance, IMPORTANT).select(F.to_json(F.struct("*")).alias("resumen"))
+    found = scoring.training_summary(rows, importance, IMPORTANT)
+    listed = lambda f: F.array_join(F.transform("top_features", f), ",")
+    return found.select(
+        "n_samples", "high_risk", "suspicious", "normal", "n_features", listed(lambda t: t["feature"]).alias("variables"),
+        listed(lambda t: F.floor(t["importance"] * 1_000_000 + 0.5).cast("string")).alias("pesos"))
 
 
 @query("e19_segment_outliers", over("ml", """

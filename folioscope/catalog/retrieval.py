@@ -73,6 +73,13 @@ def r2(spark, d):
     return retrieval.embed_texts(docs, "text").select("doc_id", F.size("embedding").alias("dimensiones"), "embedding")
 
 
+@query("r2_embedding_norms", r"""
+SELECT doc_id, 256 AS dimensiones, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END AS norma FROM documents""")
+def r2b(spark, d):
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return rounded(r2(spark, d).select("doc_id", "dimensiones", norm.alias("norma")), 4)
+
+
 @query("r3_cosine_similarity", """
 WITH centros AS (""" + CENTROIDS + """)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similitud FROM embeddings JOIN centros ON label = query_id""")
