@@ -306,11 +306,10 @@ def m21(spark, d):
 
 @query("m22_saved_model_scores")
 def m22(spark, d):
-    rows = model_rows(spark, d)
-    path = scratch_path(spark, "model")
-    outliers.save_model(outliers.fit_forest(rows, "pk", MODEL), scoring.fit_scaler(rows, MODEL), path)
-    nodes, _ = outliers.load_model(spark, path)
-    return rows.select("pk", outliers.forest_score(nodes, [F.col(c) for c in MODEL]).alias("if_score"))
+    """Fitted on the acts up to a year, stored, and used on all acts."""
+    rows, path = acts(spark, d), scratch_path(spark, "model")
+    outliers.save_bundle(rows.where(F.year("fecha_acto") <= 2006), "pk", path)
+    return outliers.score_with_bundle(rows, "pk", path)
 
 
 SUMMARY = f"""
