@@ -133,8 +133,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id",
     blocks = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // BLOCK_QUERIES)))).alias("block")).agg(
         F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
     shards = index.select(F.col("dim"), "shard").groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    placed = blocks.join(shards, "dim").select("dim", "queries", F.explode("shards").alias("shard"))
-    joined = placed.join(index, ["dim", "shard"]).sortWithinPartitions("dim", "shard")
+    placed = blocks.join(shards, "dim").select("dim", "block", "queries", F.explode("shards").alias("shard"))
+    # Searches are few and costly, so they are spread by a stated number; by their bytes they would meet in one task.
+    searches = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // 2)
+    joined = placed.join(index, ["dim", "shard"]).repartition(searches, "dim", "shard", "block").drop("block").sortWithinPartitions("dim", "shard")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = None, None
