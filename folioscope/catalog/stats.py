@@ -8,6 +8,7 @@ from folioscope import constants as K
 from folioscope.catalog.base import AS_OF, acts, cl, day, fl, over, query, rounded, sc, tx, with_scores
 from folioscope.catalog.etl import TOP50
 from folioscope.operators import activity, cleaning, monitoring, profiling, property, quality, statistics
+from folioscope.session import scratch_path
 from folioscope.sources import readers
 
 
@@ -427,6 +428,18 @@ def q11(spark, d):
     return rounded(monitoring.department_score_summary(sc(spark, d)))
 
 
+@query("q11_stored_summary_refreshed", over("sc", """
+SELECT departamento, count(*) AS total, round(avg(anomaly_score), 4) AS avg_score FROM sc GROUP BY 1"""))
+def q11b(spark, d):
+    """Stored for the rows up to a day, then renewed for the years that later rows fall into."""
+    rows, path = sc(spark, d), scratch_path(spark, "resumen")
+    late = F.coalesce(F.col("fecha_radicacion") > "2010-06-30", F.lit(False))
+    monitoring.refresh_summary(rows.where(~late), path)
+    years = rows.where(late).select("year_radica").distinct().withColumnRenamed("year_radica", "y")
+    monitoring.refresh_summary(rows.join(F.broadcast(years), rows["year_radica"].eqNullSafe(years["y"]), "left_semi"), path)
+    return rounded(monitoring.stored_summary(spark, path))
+
+
 @query("e20_high_risk_listing", over("fsc", """
 SELECT pk, anomaly_score, flag_actividad_excesiva, flag_geo_discrepancia, round(m, 2) AS municipal_avg_value FROM fsc
 LEFT JOIN (SELECT municipio, avg(valor_acto) AS m FROM fsc GROUP BY 1) USING (municipio)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.constants import SCORE_BANDS
@@ -77,9 +77,21 @@ def department_score_summary(scored: DataFrame) -> DataFrame:
     return scored.groupBy("departamento").agg(F.count("*").alias("total"), F.avg("anomaly_score").alias("avg_score"))
 
 
-def refresh_summary(scored: DataFrame, table: str) -> None:
-    """Rewrite the stored department summary."""
-    department_score_summary(scored).write.mode("overwrite").saveAsTable(table)
+def refresh_summary(changed: DataFrame, path: str, by: str = "year_radica") -> None:
+    """Renew the stored department summary for the partitions (values of ``by``) that ``changed`` holds.
+
+    What is stored are sums per department and partition, in a folder for each partition. ``changed`` must hold
+    all rows of its partitions; the folders of others are neither read nor written.
+    """
+    sums = changed.groupBy("departamento", by).agg(
+        F.count("*").alias("total"), F.sum("anomaly_score").alias("suma"), F.count("anomaly_score").alias("con_score"))
+    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def stored_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Department summary from the stored sums, equal to that of all rows."""
+    return spark.read.parquet(path).groupBy("departamento").agg(
+        F.sum("total").alias("total"), F.try_divide(F.sum("suma"), F.sum("con_score")).alias("avg_score"))
 
 
 def first_high_risk(analysed: DataFrame, n: int = 100) -> DataFrame:
