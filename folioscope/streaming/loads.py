@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscope.sources.writers import first_per_key
-
 
 def arriving_files(spark: SparkSession, path: str, schema: T.StructType, form: str = "csv", per_batch: int | None = None) -> DataFrame:
     """Stream of files below ``path``; CSV files have a header."""
@@ -22,15 +22,36 @@ def arriving_files(spark: SparkSession, path: str, schema: T.StructType, form: s
     return reader.load(path)
 
 
+# State on local disk with a log of changes per batch, instead of a map in the executors' memory.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Settings for queries started inside; a query keeps those of its start."""
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def drain(stream: DataFrame, state: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process what has arrived, then stop; progress is kept under ``state``."""
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{state}/progress")
         .trigger(availableNow=True)
         .foreachBatch(write)
-        .start()
     )
+    with state_store(stream.sparkSession):
+        query = writer.start()
     query.awaitTermination()
     return query
 
@@ -57,10 +78,6 @@ def clean_and_load(stream: DataFrame, clean: Callable[[DataFrame], DataFrame], t
     return drain(stream, state, write)
 
 
-# Parts that stored keys are laid out in.
-KEY_PARTS = 64
-
-
 def load_counters(spark: SparkSession, target: str) -> DataFrame:
     rows = spark.read.parquet(f"{target}/contadores")
     return rows.agg(
@@ -71,24 +88,53 @@ def load_counters(spark: SparkSession, target: str) -> DataFrame:
     )
 
 
+def distinct_in_batches(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Key columns with the copies inside each Arrow batch taken out, so that a key of very many rows
+    leaves a task as one row per batch. Keys of nested types pass as they are."""
+    found = stream.select(*keys)
+    if any(isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)) for f in found.schema):
+        return found
+
+    def distinct(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            yield from rows.group_by(rows.column_names).aggregate([]).to_batches()
+
+    return found.mapInArrow(distinct, found.schema)
+
+
+def keyed_rows(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The stream's rows (``__nueva`` false), and beside them every key that no earlier batch had
+    (``__nueva`` true, other columns NULL).
+
+    The keys seen are Spark's own keyed state: a batch looks up the keys it holds, one by one, and reads
+    nothing that was stored before.
+    """
+    fresh = distinct_in_batches(stream, keys).dropDuplicates(keys).withColumn("__nueva", F.lit(True))
+    return stream.withColumn("__nueva", F.lit(False)).unionByName(fresh, allowMissingColumns=True)
+
+
+def first_of_new_keys(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The smallest row in ``order`` of each new key, from one aggregate over rows and new keys."""
+    rest = [c for c in batch.columns if c not in [*keys, "__nueva"]]
+    row = F.when(~F.col("__nueva"), F.struct(*rest)) if rest else F.lit(None)
+    at = F.when(~F.col("__nueva"), F.struct(*order))
+    best = batch.groupBy(*keys).agg(F.min_by(row, at).alias("__row"), F.max("__nueva").alias("__nueva")).where("__nueva")
+    chosen = best.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    return chosen.select(*[c for c in batch.columns if c != "__nueva"])
+
+
 def load_once_per_key(stream: DataFrame, keys: list[str], order: list[str], target: str, state: str) -> StreamingQuery:
     """Store the first row of every key; keys stored by an earlier batch are skipped.
 
-    Stored rows are laid out by a hash of their key, and a batch reads only the parts it meets.
+    NULL is a key value like any other. The state is kept below ``state`` in as many parts as the session
+    has shuffle partitions when the load is first started, and its size is that of the keys.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_per_key(batch, keys, order).withColumn("parte", F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)).cast("int"))
-        if number > 0:
-            met = [r.parte for r in fresh.select("parte").distinct().collect()]
-            layout = [T.StructField("lote", T.LongType()), T.StructField("parte", T.IntegerType())]
-            stored = spark.read.schema(T.StructType(batch.schema.fields + layout)).parquet(target)
-            earlier = stored.where((F.col("lote") < number) & F.col("parte").isin(met)).select(*keys)
-            fresh = fresh.join(earlier, keys, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("parte").parquet(batch_folder(target, number))
+        first_of_new_keys(batch, keys, order).write.mode("overwrite").parquet(batch_folder(target, number))
 
-    return drain(stream, state, write)
+    return drain(keyed_rows(stream, keys), state, write)
 
 
 def once_per_key_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
