@@ -177,7 +177,9 @@ SELECT count(*) AS total_records, round(avg(valor_acto), 2) AS media, count(DIST
   count(DISTINCT municipio) AS municipios FROM acts"""))
 def k3(spark, d):
     path = scratch_path(spark, "json")
-    writers.write_json_document(statistics.statistics_document(statistics.dataset_statistics(acts(spark, d))), path)
+    rows = acts(spark, d)
+    stats = statistics.with_act_types(statistics.dataset_statistics(rows), statistics.act_type_counts(rows))
+    writers.write_json_document(statistics.statistics_document(stats), path)
     document = spark.read.json(path)
     return document.select(
         "total_records", F.round(F.col("valor_acto.mean"), 2).alias("media"), "departamentos", "municipios"

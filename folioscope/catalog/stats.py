@@ -111,11 +111,17 @@ SELECT count(*) AS total_records, min(fecha_acto) AS date_min, max(fecha_acto) A
   (SELECT string_agg(tipo_acto || '=' || n, ',' ORDER BY tipo_acto) FROM (SELECT tipo_acto, count(*) AS n FROM acts GROUP BY 1))
     AS tipos_acto FROM acts"""))
 def a11(spark, d):
-    stats = rounded(statistics.dataset_statistics(acts(spark, d)), 2)
+    rows = acts(spark, d)
+    stats = statistics.with_act_types(rounded(statistics.dataset_statistics(rows), 2), statistics.act_type_counts(rows))
     entries = F.transform(F.array_sort(F.map_entries("tipos_acto")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return stats.withColumn("tipos_acto", F.array_join(entries, ","))
 
 
+@query("a11_act_types", over("acts", "SELECT tipo_acto, count(*) AS n FROM acts WHERE tipo_acto IS NOT NULL GROUP BY 1"))
+def a11b(spark, d):
+    return statistics.act_type_counts(acts(spark, d))
+
+
 @query("a12_property_totals", over("sc", """
 SELECT count(DISTINCT matricula) AS total_propiedades, count(pk) AS total_transacciones,
   count(*) FILTER (WHERE is_anomaly) AS transacciones_anomalas,

@@ -13,29 +13,66 @@ from folioscope.plans.quantiles import exact_quantiles, with_quantiles
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
+STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def value_text(c: Column, kind: str) -> Column:
+    """Text of a value that differs wherever values differ; both zeros have one, as has every NaN.
+
+    Nested values are JSON.
+    """
+    if kind in ("float", "double"):
+        return (c + F.lit(0).cast(kind)).cast("string")
+    if kind == "binary":
+        return F.hex(c)
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("string")
+    if kind.startswith(("array", "struct", "map", "variant")):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v")), STAMPS))
+    return c.cast("string")
+
+
+def stacked_counts(df: DataFrame) -> DataFrame:
+    """Rows per (number of a column, value) of all columns, NULL values included.
+
+    The table is read once and counts are combined before the only shuffle of values, so a value that
+    fills a column leaves each task as one row.
+    """
+    cells = [F.struct(F.lit(i).alias("c"), value_text(column_of(df, i), kind).alias("valor")) for i, (_, kind) in enumerate(df.dtypes)]
+    return df.select(F.inline(F.array(*cells))).groupBy("c", "valor").agg(F.count("*").alias("n"))
+
+
+def column_of(df: DataFrame, i: int) -> Column:
+    """A column by its place, whatever its name holds."""
+    return F.col("`" + df.columns[i].replace("`", "``") + "`")
+
+
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, NULL count and share, and distinct count of every column, from one scan.
 
-    With ``approximate`` the distinct counts come from mergeable sketches instead of a shuffle
-    of every column's values.
+    Columns of an empty table have no NULLs, no values and no share. With ``approximate`` the distinct
+    counts come from mergeable sketches instead of a shuffle of every column's values.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggregates = [F.count("*").alias("__rows")]
-    for name in df.columns:
-        aggregates.append(F.count(F.col(name)).alias(f"{name}__n"))
-        aggregates.append(distinct(F.col(name)).alias(f"{name}__d"))
-    wide = df.agg(*aggregates)
-    entries = [
-        F.struct(
-            F.lit(name).alias("columna"),
-            F.lit(kind).alias("tipo"),
-            (F.col("__rows") - F.col(f"{name}__n")).alias("nulos"),
-            percent(F.col("__rows") - F.col(f"{name}__n"), F.col("__rows")).alias("nulos_pct"),
-            F.col(f"{name}__d").alias("unicos"),
-        )
-        for name, kind in df.dtypes
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+    listed = [F.struct(F.lit(i).alias("c"), F.lit(name).alias("columna"), F.lit(kind).alias("tipo")) for i, (name, kind) in enumerate(df.dtypes)]
+    columns = df.sparkSession.range(1).select(F.inline(F.array(*listed)))
+    if approximate:
+        aggregates = [F.count("*").alias("__rows")]
+        for i in range(len(df.columns)):
+            aggregates.append(F.count(column_of(df, i)).alias(f"n{i}"))
+            aggregates.append(F.approx_count_distinct(column_of(df, i)).alias(f"d{i}"))
+        entries = [
+            F.struct(F.lit(i).alias("c"), F.col("__rows").alias("filas"), (F.col("__rows") - F.col(f"n{i}")).alias("nulos"), F.col(f"d{i}").alias("unicos"))
+            for i in range(len(df.columns))
+        ]
+        found = df.agg(*aggregates).select(F.inline(F.array(*entries)))
+    else:
+        found = stacked_counts(df).groupBy("c").agg(
+            F.sum("n").alias("filas"), F.sum(F.when(F.col("valor").isNull(), F.col("n"))).alias("nulos"), F.count("valor").alias("unicos"))
+    # One row per column.
+    joined = columns.join(F.broadcast(found), "c", "left")
+    return joined.select(
+        "columna", "tipo", F.coalesce("nulos", F.lit(0)).alias("nulos"),
+        percent(F.coalesce("nulos", F.lit(0)), F.col("filas")).alias("nulos_pct"), F.coalesce("unicos", F.lit(0)).alias("unicos"))
 
 
 def numeric_profile(df: DataFrame, exclude: tuple[str, ...] = ("pk",), accuracy: int | None = None) -> DataFrame:

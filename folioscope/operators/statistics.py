@@ -137,8 +137,13 @@ def metric_table(tx: DataFrame, as_of: Column) -> DataFrame:
     return parts.select("metric_name", "metric_value", as_of.alias("metric_date"), "departamento", "municipio")
 
 
+def act_type_counts(df: DataFrame) -> DataFrame:
+    """Rows per act type, one row each, however many types there are."""
+    return df.where(F.col("tipo_acto").isNotNull()).groupBy("tipo_acto").agg(F.count("*").alias("n"))
+
+
 def dataset_statistics(df: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """One row describing an ingested dataset; act types as a map of counts."""
+    """One row describing an ingested dataset; ``act_type_counts`` lists its act types."""
     v = F.col("valor_acto")
     base = df.agg(
         F.count("*").alias("total_records"),
@@ -150,14 +155,20 @@ def dataset_statistics(df: DataFrame, accuracy: int | None = None) -> DataFrame:
         F.count_distinct("departamento").alias("departamentos"),
         F.count_distinct("municipio").alias("municipios"),
     )
-    base = with_quantiles(base, df, [], "valor_acto", {"valor_median": 0.5}, accuracy)
-    acts = df.where(F.col("tipo_acto").isNotNull()).groupBy("tipo_acto").agg(F.count("*").alias("n"))
+    return with_quantiles(base, df, [], "valor_acto", {"valor_median": 0.5}, accuracy)
+
+
+def with_act_types(stats: DataFrame, counts: DataFrame) -> DataFrame:
+    """Statistics with the counts of ``act_type_counts`` as a map, which the JSON document needs whole.
+
+    The map holds one entry per type; a data set with unbounded types is described by its rows instead.
+    """
     entries = F.array_sort(F.collect_list(F.struct("tipo_acto", "n")))
-    return base.withColumn("tipos_acto", acts.agg(F.map_from_entries(entries).alias("m")).scalar())
+    return stats.withColumn("tipos_acto", counts.agg(F.map_from_entries(entries).alias("m")).scalar())
 
 
 def statistics_document(stats: DataFrame) -> DataFrame:
-    """Dataset statistics nested as in the published JSON document."""
+    """Dataset statistics with their act types, nested as in the published JSON document."""
     return stats.select(
         F.col("total_records"),
         F.struct(F.col("date_min").alias("min"), F.col("date_max").alias("max")).alias("date_range"),
