@@ -442,12 +442,49 @@ def m17b(spark, d):
     return pricing.price_model_metrics(pricing.predict(rows, model, names))
 
 
+PRICE_ROWS = {
+    "conocidas": """SELECT pk, valor_acto FROM tx WHERE tiene_valor = 1 AND valor_acto > 0 AND dinamica_inmobiliaria = 1
+  AND municipio IS NOT NULL AND departamento IS NOT NULL""",
+    "precios": """SELECT * FROM conocidas WHERE valor_acto BETWEEN (SELECT quantile_cont(valor_acto, 0.01) FROM conocidas)
+  AND (SELECT quantile_cont(valor_acto, 0.99) FROM conocidas)""",
+}
+
+
+@query("m16_price_sides", over("tx", """
+SELECT ('0x' || left(md5('42|' || pk), 8))::BIGINT % 10000 < 2000 AS es_prueba, count(*) AS n, min(valor_acto) AS minimo,
+  max(valor_acto) AS maximo, round(avg(valor_acto), 2) AS media FROM precios GROUP BY 1""", **PRICE_ROWS))
+def m16b(spark, d):
+    """Rows that the price model is fitted and judged on."""
+    from folioscope.operators.quality import market_with_value
+
+    marked = features.split_rows(pricing.price_rows(market_with_value(tx(spark, d))), "pk")
+    v = F.col("valor_acto")
+    sides = marked.groupBy("es_prueba").agg(F.count("*").alias("n"), F.min(v).alias("minimo"), F.max(v).alias("maximo"), F.avg(v).alias("media"))
+    return rounded(sides, 2)
+
+
 @query("m18_price_importances")
 def m18(spark, d):
     model, _, names = fitted_prices(spark, d)
     return pricing.model_importances(model, names)
 
 
+@query("m19_tree_means", over("tx", """
+SELECT count(*) AS n, count(*) AS media_igual, count(*) AS intervalo_ordenado FROM precios""", **PRICE_ROWS))
+def m19b(spark, d):
+    """Rows whose price is the mean of their trees, and whose interval lies within the trees' range."""
+    model, rows, names = fitted_prices(spark, d)
+    found = pricing.with_tree_predictions(rows, model, names, scratch_path(spark, "price-model"), "arboles")
+    found = pricing.with_price_interval(found.drop("precio_predicho"), model, names, scratch_path(spark, "price-model"))
+    mean = F.aggregate("arboles", F.lit(0.0), lambda a, x: a + x) / F.size("arboles")
+    low, high = F.col("precio_minimo"), F.col("precio_maximo")
+    ordered = (F.array_min("arboles") <= low) & (low <= high) & (high <= F.array_max("arboles"))
+    return found.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.abs(mean - F.col("precio_predicho")) <= 1e-9 * F.abs(mean)).alias("media_igual"),
+        F.count_if(ordered).alias("intervalo_ordenado"))
+
+
 @query("m19_price_intervals")
 def m19(spark, d):
     model, rows, names = fitted_prices(spark, d)
