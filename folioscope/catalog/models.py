@@ -38,6 +38,20 @@ def m1(spark, d):
     return rounded(features.transaction_features(fl(spark, d)), 6, valor_miles_millones=9, valor_acto=-1)
 
 
+FALLBACKS = ["year", "month", "quarter", "day_of_week", "is_weekend", "days_since_2015", "es_urbano", "es_rural", "sin_zona", "predio_nph"]
+
+
+@query("m1_year_and_class_features", over("fl", """
+SELECT transaction_id, coalesce(year_radica, 0) AS year, 6 AS month, 2 AS quarter, 3 AS day_of_week, 0 AS is_weekend,
+  coalesce((year_radica - 2015) * 365, 0) AS days_since_2015, cast(coalesce(right(categoria_ruralidad, 1) = '1', false) AS INTEGER) AS es_urbano,
+  cast(coalesce(right(categoria_ruralidad, 1) IN ('2', '3'), false) AS INTEGER) AS es_rural,
+  cast(categoria_ruralidad IS NULL AS INTEGER) AS sin_zona, 0 AS predio_nph FROM fl"""))
+def m1c(spark, d):
+    """Features of an extract that has the year and the rurality class, and neither date nor zone."""
+    rows = fl(spark, d).drop("fecha_radicacion", "tipo_predio")
+    return features.transaction_features(rows).select("transaction_id", *FALLBACKS)
+
+
 @query("m1_missing_features", over("fl", " UNION ALL ".join(
     f"SELECT '{c}' AS columna, count(*) - count({c}) AS nulos FROM f" for c in features.TRANSACTION_FEATURES), f=FEATURES))
 def m1b(spark, d):

@@ -26,20 +26,54 @@ def bit(c: Column) -> Column:
     return V.truth(c).cast("int")
 
 
+def calendar_features(tx: DataFrame) -> dict[str, Column]:
+    """Date features; a table with a year and no date gets those of a day in the middle of the year."""
+    if "fecha_radicacion" in tx.columns:
+        day = F.col("fecha_radicacion")
+        return {
+            "year": F.year(day), "month": F.month(day), "quarter": F.quarter(day), "day_of_week": F.weekday(day),
+            "is_weekend": bit(F.weekday(day) >= 5), "days_since_2015": F.datediff(day, F.lit("2015-01-01").cast("date")),
+        }
+    if "year_radica" in tx.columns:
+        year, middle = F.col("year_radica").cast("int"), {"month": 6, "quarter": 2, "day_of_week": 3, "is_weekend": 0}
+        return {"year": year, **{n: F.lit(v) for n, v in middle.items()}, "days_since_2015": (year - 2015) * 365}
+    return {n: F.lit(0) for n in ["year", "month", "quarter", "day_of_week", "is_weekend", "days_since_2015"]}
+
+
+def zone_features(tx: DataFrame) -> dict[str, Column]:
+    """Zone of a property; a table without zones takes it from the rurality class: 1 urban, 2 and 3 rural.
+
+    The class is a number, or the number that ends its text.
+    """
+    if "tipo_predio" in tx.columns:
+        kind = F.col("tipo_predio")
+        return {
+            "es_urbano": bit(kind.contains("URBANO")),
+            "es_rural": bit(kind.contains("RURAL")),
+            "sin_zona": bit(kind.isNotNull() & ~kind.rlike("URBANO|RURAL")),
+            "predio_nph": bit(kind.contains("NPH")),
+            "predio_matriz": bit(kind.contains("MATRIZ")),
+            "predio_matriz_nph": bit(kind.contains("MATRIZ NPH")),
+        }
+    unknown = {n: F.lit(0) for n in ["predio_nph", "predio_matriz", "predio_matriz_nph"]}
+    if "categoria_ruralidad" not in tx.columns:
+        return {"es_urbano": F.lit(0), "es_rural": F.lit(0), "sin_zona": F.lit(1), **unknown}
+    text = F.col("categoria_ruralidad").cast("string")
+    number = F.regexp_extract(text, r"(?:^|\D)0*(\d+)(?:\.0*)?\s*$", 1)
+    return {"es_urbano": bit(number == "1"), "es_rural": bit(number.isin("2", "3")), "sin_zona": text.isNull().cast("int"), **unknown}
+
+
 def transaction_features(tx: DataFrame) -> DataFrame:
-    """The 39 features of a transaction, missing values as 0, next to ``transaction_id``."""
-    day, value = F.col("fecha_radicacion"), F.coalesce("valor_acto", F.lit(0.0))
+    """The 39 features of a transaction, missing values as 0, next to ``transaction_id``.
+
+    Without a date column the year stands in for it, without a zone column the rurality class.
+    """
+    value = F.coalesce("valor_acto", F.lit(0.0))
     yearly = F.coalesce(column_or(tx, "anotaciones_por_anio", 1), F.lit(1))
     has_yearly = "anotaciones_por_anio" in tx.columns
     code = F.coalesce(V.number_or_null(F.col("cod_natujur")), F.lit(0.0))
-    kind = F.col("tipo_predio")
     features = {
-        "year": F.year(day),
-        "month": F.month(day),
-        "quarter": F.quarter(day),
-        "day_of_week": F.weekday(day),
-        "is_weekend": bit(F.weekday(day) >= 5),
-        "days_since_2015": F.datediff(day, F.lit("2015-01-01").cast("date")),
+        **calendar_features(tx),
         "valor_acto": value,
         "log_valor": F.log1p(value),
         "valor_millones": value / 1e6,
@@ -51,12 +85,7 @@ def transaction_features(tx: DataFrame) -> DataFrame:
         "anotaciones_por_anio": yearly,
         "log_anotaciones": F.log1p(yearly.cast("double")) if has_yearly else F.lit(0.0),
         "actividad_alta": bit(yearly > 10) if has_yearly else F.lit(0),
-        "es_urbano": bit(kind.contains("URBANO")),
-        "es_rural": bit(kind.contains("RURAL")),
-        "sin_zona": bit(kind.isNotNull() & ~kind.rlike("URBANO|RURAL")),
-        "predio_nph": bit(kind.contains("NPH")),
-        "predio_matriz": bit(kind.contains("MATRIZ")),
-        "predio_matriz_nph": bit(kind.contains("MATRIZ NPH")),
+        **zone_features(tx),
         "flag_actividad_excesiva": bit(column_or(tx, "flag_actividad_excesiva", False)),
         "flag_geo_discrepancia": bit(column_or(tx, "flag_geo_discrepancia", False)),
         "total_flags_anomalia": V.as_int(column_or(tx, "total_flags_anomalia", 0)),

@@ -167,3 +167,16 @@ def test_missing_columns_are_optional(spark):
     row = spark.createDataFrame([("t", None, 5e7, "URBANO", "152")], "transaction_id string, fecha_radicacion date, valor_acto double, tipo_predio string, cod_natujur string")
     found = features.transaction_features(row).first()
     assert (found.anotaciones_por_anio, found.log_anotaciones, found.tiene_valor, found.cod_naturaleza_grupo, found.year) == (1, 0.0, 1, 1, 0)
+
+
+def test_year_and_class_stand_in_for_date_and_zone(spark):
+    rows = [("a", 2016, "1"), ("b", None, "2.0"), ("c", 2014, None), ("d", 2015, "CATEGORIA 3"), ("e", 2015, "CATEGORIA 13"), ("f", 2015, "01 "), ("g", 2015, "")]
+    df = spark.createDataFrame(rows, "transaction_id string, year_radica int, categoria_ruralidad string")
+    df = df.withColumn("valor_acto", F.lit(None).cast("double")).withColumn("cod_natujur", F.lit(None).cast("string"))
+    found = {r.transaction_id: r for r in features.transaction_features(df).collect()}
+    assert all(len(r) == 1 + len(features.TRANSACTION_FEATURES) and None not in tuple(r) for r in found.values())
+    assert {k: (r.es_urbano, r.es_rural, r.sin_zona) for k, r in found.items()} == {
+        "a": (1, 0, 0), "b": (0, 1, 0), "c": (0, 0, 1), "d": (0, 1, 0), "e": (0, 0, 0), "f": (1, 0, 0), "g": (0, 0, 0)}
+    assert [(r.year, r.month, r.days_since_2015) for r in (found["a"], found["b"], found["c"])] == [(2016, 6, 365), (0, 6, 0), (2014, 6, -365)]
+    bare = features.transaction_features(df.drop("year_radica", "categoria_ruralidad")).first()
+    assert (bare.year, bare.month, bare.sin_zona, bare.es_urbano) == (0, 0, 1, 0)
