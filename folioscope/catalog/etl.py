@@ -161,7 +161,8 @@ SELECT count(*) AS registros_entrada, count(*) FILTER (WHERE ml) AS registros_sa
 FROM (SELECT *, es_mercado_valido AND valor_valido AND calidad_datos = 'OK' AS ml FROM cl)"""))
 def k2(spark, d):
     folder = scratch_path(spark, "stats")
-    rows = classified(spark, d)
+    # The statistics pass over the rows many times, so they read the stored table.
+    rows = cl(spark, d)
     kinds = statistics.property_kind_year_stats(quality.dataset(rows, "ml_training"))
     writers.write_statistics({"por_tipo_predio": kinds}, statistics.run_report(rows), folder)
     counts = ["registros_entrada", "registros_salida", "registros_descartados", "registros_con_errores", "registros_sospechosos"]
