@@ -3,9 +3,11 @@
 Reference rows are assigned to the nearest of a bounded number of pivots, drawn by key hash. A point
 is first compared with its home cell, which bounds how far its ``k``-th neighbour can be; by the
 triangle inequality at the pivots only cells whose radius reaches into that bound can hold a nearer
-row, and the point is sent to those alone. Large cells are split into parts and the points of a cell
-into blocks, so a task compares two bounded sets whatever the size of either side. Nothing but the
-pivots and one row per cell passes through the driver.
+row. Cells near each other form groups of up to ``GROUP_ROWS`` rows, and a point is sent once to every
+group that has an open cell, so that what travels is bounded by the number of groups and not of cells;
+inside a task the points of a cell are compared with the cells that are open to them. Large cells are
+split into parts and the points of a group into blocks, so a task compares two bounded sets whatever the
+size of either side. Nothing but the pivots and one row per cell passes through the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from folioscope.session import scratch_path
 MAX_PIVOTS = 1024
 # Rows of either side that one task compares at a time.
 PART_ROWS = 4096
+# Rows of either side that meet in a task after that, of as many cells as hold them. A row travels to about
+# rows / GROUP_ROWS tasks at most.
+GROUP_ROWS = 16384
 # Distances held at a time within one task, few enough to stay in the processor cache.
 CELLS = 500_000
 
@@ -152,29 +157,111 @@ def nearest(points: DataFrame, reference: DataFrame, k: int, exclude_self: bool
         return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("point", F.col("distance").alias("bound"))
     number, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy()
+    # One row per pivot on either side.
+    held_rows = placed.groupBy("cell").count().toPandas().set_index("cell")["count"]
+    own_rows = homes.groupBy("cell").count().toPandas().set_index("cell")["count"]
+    place = cell_order(_matrix(drawn["vector"]))
+    group, block = cell_groups(held_rows, place), cell_groups(own_rows, place)
+    group_of = np.full(wanted, -1, np.int32)
+    group_of[group["cell"]] = group["group"]
+    groups, blocks = spark.createDataFrame(group, "cell int, group int, parts int"), spark.createDataFrame(block, "cell int, group int, parts int")
+
+    def open_cells(x: np.ndarray, home: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Which cells, in the order of ``number``, may hold a neighbour; not the home cell."""
+        away = np.sqrt(squared_distances(x, held.value[number]))
+        at_home = number == home[:, None]
+        # Rounding of the fast distances must not rule a cell out.
+        slack = 1e-6 * (1 + away + radius)
+        open_ = (away - radius <= bound[:, None] + slack) & ~at_home
+        if probes is not None and probes - 1 < open_.shape[1]:
+            open_ &= away <= np.partition(np.where(at_home, -1, away), probes - 1, axis=1)[:, probes - 1 : probes]
+        return open_
+
+    point = f"point {dict(points.dtypes)['point']}, vector array<double>, cell int, bound double"
 
     def reach(batches):
-        pivots = held.value[number]
         for batch in batches:
-            x, bound = _matrix(batch["vector"]), batch["bound"].fillna(np.inf).to_numpy()
-            for at in range(0, len(x), 1024):
+            x, home, bound = _matrix(batch["vector"]) if len(batch) else None, batch["cell"].to_numpy(), batch["bound"].fillna(np.inf).to_numpy()
+            groups = []
+            for at in range(0, len(batch), 1024):
                 part = slice(at, at + 1024)
-                away = np.sqrt(squared_distances(x[part], pivots))
-                # Rounding of the fast distances must not rule a cell out.
-                slack = 1e-6 * (1 + away + radius)
-                open_ = (away - radius <= bound[part, None] + slack) & (number != batch["cell"].to_numpy()[part, None])
-                if probes is not None and probes - 1 < open_.shape[1]:
-                    ordered = np.where(number == batch["cell"].to_numpy()[part, None], -1, away)
-                    open_ &= away <= np.partition(ordered, probes - 1, axis=1)[:, probes - 1 : probes]
-                i, j = np.nonzero(open_)
-                rows = batch.iloc[part].iloc[i]
-                yield pd.DataFrame({"point": rows["point"].to_numpy(), "vector": rows["vector"].to_numpy(), "bound": bound[part][i], "cell": number[j].astype(np.int32)})
-
-    asked = homes.join(bounds, "point", "left").mapInPandas(reach, f"point {dict(points.dtypes)['point']}, vector array<double>, bound double, cell int")
-    both = first.unionByName(against(_kept(asked, "asked")))
+                open_ = open_cells(x[part], home[part], bound[part])
+                groups += [np.unique(group_of[number[row]]) for row in open_]
+            if len(batch):
+                yield pd.DataFrame({"point": batch["point"], "vector": batch["vector"], "cell": home, "bound": bound, "groups": groups})
+
+    def compare_open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Neighbours of the points of a block among the rows of a group, the points of a cell at a time."""
+        out = [pd.DataFrame({"point": left["point"][:0], "neighbour": right["neighbour"][:0], "distance": pd.Series([], dtype=float)})]
+        if not len(left) or not len(right):
+            return out[0]
+        right, left = right.sort_values(["cell", "neighbour"], ignore_index=True), left.sort_values("cell", ignore_index=True)
+        own, bound, home, cell = left["point"].to_numpy(), left["bound"].to_numpy(), left["cell"].to_numpy(), right["cell"].to_numpy()
+        other, x, y = right["neighbour"].to_numpy(), _matrix(left["vector"]), _matrix(right["vector"])
+        open_ = open_cells(x, home, bound)
+        # Rank of a row by its key, which settles ties of the distance.
+        tie = np.empty(len(other), np.int64)
+        tie[np.argsort(other, kind="stable")] = np.arange(len(other))
+        # Points of one cell, a bounded number of them, against the cells that any of these has open.
+        starts = np.r_[0, np.flatnonzero(home[1:] != home[:-1]) + 1, len(home)]
+        for begin, end in zip(starts[:-1], starts[1:]):
+            for at in range(begin, end, max(1, CELLS // len(y))):
+                rows = np.arange(at, min(at + max(1, CELLS // len(y)), end))
+                columns = np.flatnonzero(np.isin(cell, number[open_[rows].any(0)]))
+                if not len(columns):
+                    continue
+                i, j = smallest(squared_distances(x[rows], y[columns]), k + 1 if exclude_self else k)
+                i, j = rows[i], columns[j]
+                if exclude_self:
+                    apart = own[i] != other[j]
+                    i, j = i[apart], j[apart]
+                distance = exact_distances(x[i], y[j])
+                # A row beyond the bound from the home cell is no neighbour; nor is one of a cell that was not asked.
+                within = (distance <= bound[i]) & open_[i, np.searchsorted(number, cell[j])]
+                i, j, distance = i[within], j[within], distance[within]
+                best, _ = ranked(i, distance, tie[j], k)
+                out.append(pd.DataFrame({"point": own[i[best]], "neighbour": other[j[best]], "distance": distance[best]}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    def parted_by(rows: DataFrame, key: str, of: DataFrame, name: str) -> DataFrame:
+        """Rows with the number of their group and part, in the columns ``name`` and ``name`` + 'part'."""
+        part = F.pmod(F.xxhash64(key), F.col("parts")).cast("int")
+        return rows.join(F.broadcast(of), "cell").withColumns({name: F.col("group"), name + "part": part}).drop("group", "parts")
+
+    asked = _kept(homes.drop("far").join(bounds, "point", "left").mapInPandas(reach, point + ", groups array<int>"), "asked")
+    sent = parted_by(asked, "point", blocks, "block").withColumn("side", F.explode("groups")).drop("groups")
+    ahead = groups.select(F.col("group").alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sidepart")).distinct()
+    by = ["block", "blockpart", "side", "sidepart"]
+    sent = sent.join(F.broadcast(ahead), "side")
+    # Blocks and groups that meet: a row for every two of them at most.
+    meeting = _kept(sent.select(*by).distinct(), "meeting")
+    copied = parted_by(placed.drop("far"), "neighbour", groups, "side").join(meeting, ["side", "sidepart"])
+    both = first.unionByName(sent.groupBy(*by).cogroup(copied.groupBy(*by)).applyInPandas(compare_open, schema))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def cell_order(pivots: np.ndarray) -> np.ndarray:
+    """Places of the pivots along the direction in which they vary most, so that neighbours in it form groups."""
+    centred = pivots - pivots.mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+    out = np.empty(len(pivots), np.int64)
+    out[np.argsort(along, kind="stable")] = np.arange(len(pivots))
+    return out
+
+
+def cell_groups(rows: pd.Series, place: np.ndarray) -> pd.DataFrame:
+    """``cell, group, parts``: cells in the order of ``place``, as many a group as hold ``GROUP_ROWS`` rows; a larger cell is split."""
+    cells, groups, parts, now, held = sorted(rows.index, key=lambda c: place[c]), [], [], -1, GROUP_ROWS
+    for c in cells:
+        n = int(rows[c])
+        if held + n > GROUP_ROWS:
+            now, held = now + 1, 0
+        held += n
+        groups.append(now)
+        parts.append(max(1, -(-n // GROUP_ROWS)))
+    return pd.DataFrame({"cell": np.array(cells, np.int32), "group": np.array(groups, np.int32), "parts": np.array(parts, np.int32)})
+
+
 def nearest_to_points(
     points: DataFrame, reference: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, probes: int | None = None,
 ) -> DataFrame:
