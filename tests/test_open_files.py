@@ -1,0 +1,77 @@
+"""Tables split by quality class are written as their rows come, and numbers are not typed through their text."""
+
+import glob
+import time
+
+import pyarrow as pa
+import pytest
+
+from folioscope.catalog import base
+from folioscope.operators.cleaning import type_columns
+from folioscope.sources.writers import WRITERS, write_quality_datasets
+
+CLASSES = ["OK", "ERROR", "ADVERTENCIA"]
+
+
+def early(spark, pattern):
+    """Rows in three batches; ``seen`` tells in the last whether files of the first were open by then."""
+
+    def rows(batches):
+        for _ in batches:
+            pass
+        n = 60_000
+
+        def batch(seen):
+            columns = [CLASSES * (n // 3), [True] * n, [True] * n, [f"{i * 7919:040d}" for i in range(n)], [seen] * n]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        # The second batch pushes the first one out of the worker's buffer.
+        yield batch(None)
+        yield batch(None)
+        seen = False
+        for _ in range(100):
+            seen = bool(glob.glob(pattern, recursive=True))
+            if seen:
+                break
+            time.sleep(0.1)
+        yield batch(seen)
+
+    names = ["calidad_datos", "es_mercado_valido", "valor_valido", "pad", "seen"]
+    kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_()]
+    return spark.range(0, 1, 1, 1).mapInArrow(
+        rows, "calidad_datos string, es_mercado_valido boolean, valor_valido boolean, pad string, seen boolean")
+
+
+def counted(df):
+    return {(r.calidad_datos, r.seen): r["count"] for r in df.groupBy("calidad_datos", "seen").count().collect()}
+
+
+WANTED = {(c, seen): n for c in CLASSES for seen, n in ((None, 40_000), (True, 20_000))}
+
+
+def test_datasets_are_written_without_a_sort(spark, tmp_path):
+    before = spark.conf.get(WRITERS, None)
+    rows = early(spark, f"{tmp_path}/**/calidad_datos=*/*.parquet")
+    paths = write_quality_datasets(rows, str(tmp_path))
+    assert counted(spark.read.parquet(paths["completo"])) == WANTED
+    assert spark.conf.get(WRITERS, None) == before
+
+
+def test_stored_table_is_written_without_a_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(base, "scratch_path", lambda s, name: f"{tmp_path}/{name}")
+    rows = early(spark, f"{tmp_path}/**/calidad_datos=*/*.parquet")
+    assert counted(base.stored(spark, str(tmp_path), "table", lambda: rows, "calidad_datos")) == WANTED
+
+
+@pytest.mark.parametrize("kind", ["double", "long", "int"])
+def test_numbers_are_typed_without_their_text(spark, kind):
+    values = [1.0, 999.0, 1000.0, 0.0, -3.0, 2.0**31 - 1, None]
+    if kind == "double":
+        values += [2.5, -0.0, 1e300, float("nan"), float("inf"), -float("inf")]
+    else:
+        values = [v if v is None else int(v) for v in values]
+    rows = spark.createDataFrame([(i, v, v, v) for i, v in enumerate(values)], f"i int, orip {kind}, year_radica {kind}, valor_acto {kind}")
+    typed = type_columns(rows)
+    assert "regexp_extract" not in typed._jdf.queryExecution().optimizedPlan().toString()
+    as_text = type_columns(rows.selectExpr("i", *[f"cast({c} AS string) AS {c}" for c in rows.columns[1:]]))
+    assert sorted(map(str, typed.collect())) == sorted(map(str, as_text.collect()))
