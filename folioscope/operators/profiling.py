@@ -9,6 +9,7 @@ from folioscope import constants as K
 from folioscope.functions import values as V
 from folioscope.operators.statistics import percent, total_rows
 from folioscope.plans.quantiles import exact_quantiles, with_quantiles
+from folioscope.session import scratch_path
 
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
@@ -125,15 +126,19 @@ def value_histogram(df: DataFrame, value: Column, edges: list, labels: list[str]
 def market_comparison(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Market against non-market rows: texts, numbers, zeros, valid values, mean and median.
 
-    ``df`` carries the market flag and the raw text in ``valor_texto``.
+    ``df`` carries the market flag and the raw text in ``valor_texto``. The texts are parsed once, into a
+    narrow table, since the median passes over the numbers several times.
     """
-    number = V.money_or_null(F.col("valor_texto"))
-    known = df.where(F.col("dinamica_inmobiliaria").isin(0, 1)).withColumn("__v", number)
+    market, text = F.col("dinamica_inmobiliaria"), F.col("valor_texto")
+    path = scratch_path(df.sparkSession, "market-values")
+    parsed = df.where(market.isin(0, 1)).select(market, text.isNotNull().alias("__text"), V.money_or_null(text).alias("__v"))
+    parsed.write.parquet(path)
+    known = df.sparkSession.read.schema(parsed.schema).parquet(path)
     valid = F.when(F.col("__v").between(K.MIN_VALID_VALUE, K.MAX_VALID_VALUE), F.col("__v"))
     rows = known.withColumns({"__valid": valid, "__positive": F.when(F.col("__v") > 0, F.col("__v"))})
     summary = rows.groupBy("dinamica_inmobiliaria").agg(
         F.count("*").alias("total"),
-        F.count("valor_texto").alias("con_texto"),
+        F.count_if("__text").alias("con_texto"),
         F.count("__v").alias("numericos"),
         F.count_if(F.col("__v") == 0).alias("ceros"),
         F.count("__positive").alias("positivos"),
