@@ -280,3 +280,18 @@ def test_mixing(spark):
     assert again == {(r.doc_id, r.size, r.taken) for r in got}
     assert mixing.mixed_documents(df).count() == sum(r.repeats for r in got)
     assert mixing.mix(df.where("doc_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_cut_from_their_marks(tokenizers, name):
+    """Marks, line ends and accents don't make a word new, and odd white space stays with its unit."""
+    own, calls = Encoder(public_tokenizers.path(name)), []
+    unit = own._unit
+    own._unit = lambda text: calls.append(text) or unit(text)
+    texts = ["so größer, größer. größer\ngrößer-größer; größer (größer) 12größer"] * 3
+    expected = [np.asarray(ids_of(tokenizers[name], t, 0)[:-1], "<u4").tobytes() for t in texts]
+    assert own.encode_all(texts) == expected
+    assert not [c for c in calls if "gr" in c] and len(own.tiles) <= 12
+    odd = ["a\xa0 b", "a 　b   c", "x\n\ny \n z", "a\x1c b", "don't  we'll", "1 2 3", "H̱ é×é", None, "", " ", "ab\n", "\nab"]
+    expected = [np.asarray(ids_of(tokenizers[name], t, 0)[:-1], "<u4").tobytes() for t in odd]
+    assert own.encode_all(odd) == expected
