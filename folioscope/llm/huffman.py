@@ -26,6 +26,7 @@ from folioscope.session import scratch_path
 MAX_BITS = 20
 STRIDE = 128
 BLOCK_TOKENS = 1 << 16
+CACHED_TILES = 400_000
 
 TOKENS = "part int, part_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids binary"
 BLOCKS = "start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, stream binary, checkpoints binary"
@@ -88,7 +89,7 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     _, order = canonical(lengths)
     sizes = lengths[order].astype(np.int64)
     repeats = np.int64(1) << (MAX_BITS - sizes)
-    ids, bits = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.int64)
+    ids, bits = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
     filled = int(repeats.sum())
     ids[:filled], bits[:filled] = np.repeat(order, repeats), np.repeat(sizes, repeats)
     return ids, bits
@@ -98,16 +99,17 @@ def read_bits(stream: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.nd
     """The ``n`` ids of a block; every stride is a lane and all lanes advance together."""
     ids, bits = table
     words = np.r_[np.frombuffer(stream, ">u4").astype(np.uint64), np.zeros(2 + STRIDE, np.uint64)]
-    place = checkpoints.astype(np.int64)
-    out = np.zeros((len(place), STRIDE), np.uint32)
-    last = len(words) - 2
-    for step in range(min(STRIDE, n)):
-        at = np.minimum(place >> 5, last)
-        window = (words[at] << np.uint64(32) | words[at + 1]) << (place & 31).astype(np.uint64)
-        key = (window >> np.uint64(64 - MAX_BITS)).astype(np.int64)
-        out[:, step] = ids[key]
-        place += bits[key]
-    return out.ravel()[:n]
+    # The 64 bits from every word on.
+    pairs = words[:-1] << np.uint64(32) | words[1:]
+    place = checkpoints.astype(np.uint64)
+    out = np.empty((min(STRIDE, n), len(place)), np.uint32)
+    last, keep = np.uint64(len(pairs) - 1), np.uint64(64 - MAX_BITS)
+    for step in range(len(out)):
+        at = np.minimum(place >> np.uint64(5), last).view(np.int64)
+        key = (pairs.take(at) << (place & np.uint64(31)) >> keep).view(np.int64)
+        ids.take(key, out=out[step], mode="clip")
+        place += bits.take(key)
+    return out.T.ravel()[:n]
 
 
 @lru_cache(maxsize=1)
@@ -123,12 +125,14 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text:
         start, keys, sizes, held, total = 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            values = [part], [start], [total], [keys], [sizes], [b"".join(held)]
+            ids = np.frombuffer(b"".join(held), "<u4")
+            narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+            values = [part], [start], [total], [keys], [sizes], [narrow.tobytes()]
             kinds = pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
             names = [c.split()[0] for c in TOKENS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
-        for key, ids in encoded(batches, vocabulary, end_id, added):
+        for key, ids in encoded(batches, vocabulary, end_id, added, CACHED_TILES):
             keys.append(key)
             sizes.append(len(ids) // 4)
             held.append(ids)
@@ -146,21 +150,27 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str, text:
     return docs.sparkSession.read.schema(TOKENS).parquet(path)
 
 
+def stored_ids(value: pa.BinaryScalar, n: int) -> np.ndarray:
+    """The ids of a block of ``n`` tokens, kept in two bytes where all of them fit, else in four."""
+    held = value.as_buffer()
+    return np.frombuffer(held, "<u2" if held.size == 2 * n else "<u4")
+
+
 def count_ids(tokens: DataFrame) -> DataFrame:
     """Occurrences of every id in the whole corpus; a task sends at most one row per id."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                own = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
+            for value, n in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = np.bincount(stored_ids(value, n))
                 if len(own) > len(total):
                     own, total = total, own
                 total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "n_tokens").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def encode_corpus(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> None:
@@ -189,7 +199,7 @@ def encode_corpus(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0
         codes, lengths = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                stream, places = write_bits(np.frombuffer(batch.column(5)[i].as_buffer(), "<u4"), codes, lengths)
+                stream, places = write_bits(stored_ids(batch.column(5)[i], batch.column(2)[i].as_py()), codes, lengths)
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([
                     row.column(0), row.column(1), row.column(2), row.column(3), row.column(4),

@@ -295,3 +295,15 @@ def test_words_are_cut_from_their_marks(tokenizers, name):
     odd = ["a\xa0 b", "a 　b   c", "x\n\ny \n z", "a\x1c b", "don't  we'll", "1 2 3", "H̱ é×é", None, "", " ", "ab\n", "\nab"]
     expected = [np.asarray(ids_of(tokenizers[name], t, 0)[:-1], "<u4").tobytes() for t in odd]
     assert own.encode_all(odd) == expected
+
+
+def test_stored_ids_take_two_bytes_where_they_fit(spark, rows, tokenizers):
+    tokens = huffman._tokenized(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), 0, "doc_id", "text", False)
+    wide = huffman._tokenized(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), 1 << 16, "doc_id", "text", False)
+    for found, width in ((tokens, 2), (wide, 4)):
+        blocks = found.collect()
+        assert blocks and all(len(b.ids) == width * b.n_tokens for b in blocks)
+    counts = {r.id: r.n for r in huffman.count_ids(tokens).collect()}
+    expected = np.unique([i for _, t in rows for i in ids_of(tokenizers["byte_bpe_50k.json"], t, 0)], return_counts=True)
+    assert counts == dict(zip(*(x.tolist() for x in expected)))
+    assert {r.id: r.n for r in huffman.count_ids(wide).collect()}[1 << 16] == len(rows)
